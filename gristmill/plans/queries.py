@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from gristmill.plans import problems
+
+QUERIES: dict = {**problems.QUERIES}
+SQL: dict[str, str] = {**problems.SQL}
