@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.plans import problems
+from gristmill.plans import problems, reference
 
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict = {**reference.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**reference.SQL, **problems.SQL}
