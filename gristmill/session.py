@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,25 @@ def local_session(name: str = "gristmill", cores: str = "*", **conf: str) -> Spa
     return builder.config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the session's executors, once, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gristmill_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="gristmill-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "gristmill_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(top, f)
+                    z.write(full, os.path.join("gristmill", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._gristmill_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset, one of our own.
 
