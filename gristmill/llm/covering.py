@@ -32,7 +32,7 @@ PLACE_BITS = 9
 #: Bits of each place in the check words that a candidate pair must agree in before it is passed on.
 CHECK_BITS, CHECK_PLACES = 3, 21
 #: Standard deviations that the number of differing places may lie above its mean at the least similarity.
-CHECK_SIGMAS = 4.5
+CHECK_SIGMAS = 4.0
 SEED = 20260101
 #: Pairs of texts compared at once in a task.
 COMPARE_ROWS = 20_000
