@@ -83,10 +83,10 @@ class Grid:
         return F.transform(touched, lambda x: F.struct(x["part"].alias("part"), (x["d"] + x["s"] <= self.radius - SLACK_KM).alias("interior")))
 
 
-def first_of_each(df: DataFrame, id_col: str, columns: list[str], order: str | None) -> DataFrame:
-    """One row for each id: the first by ``order``, or the smallest."""
-    key = [F.col(order)] if order else []
-    return df.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(F.struct(*key, *(F.col(f"`{c}`") for c in columns))).alias("__x")).select("id", *(F.col(f"__x.{c}").alias(c) for c in columns))
+def first_of_each(points: DataFrame, order: str | None) -> DataFrame:
+    """One row (id, y, x, carry) for each id: the first by ``order``, of equal ones the smallest."""
+    first = F.min(F.struct(*([order] if order else []), "y", "x", "carry")).alias("__x")
+    return points.groupBy("id").agg(first).select("id", "__x.y", "__x.x", "__x.carry")
 
 
 def nearby_pairs(df: DataFrame, radius_km: float, id_col: str = "id", lat: str = "lat", lng: str = "lng", carry: list[str] | None = None, order: str | None = "loaded_at") -> DataFrame:
@@ -100,18 +100,20 @@ def nearby_pairs(df: DataFrame, radius_km: float, id_col: str = "id", lat: str =
     """
     grid = Grid(radius_km)
     carry = carry or []
-    good = df.where(is_valid(F.col(f"`{lat}`"), F.col(f"`{lng}`")) & F.col(f"`{id_col}`").isNotNull())
-    points = first_of_each(good.select(id_col, lat, lng, *carry, *([order] if order and order not in (lat, lng, *carry) else [])), id_col, [lat, lng, *carry], order)
-    points = points.withColumnRenamed(lat, "y").withColumnRenamed(lng, "x")
+    y, x = F.col(f"`{lat}`"), F.col(f"`{lng}`")
+    good = df.where(is_valid(y, x) & F.col(f"`{id_col}`").isNotNull())
+    extra = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)))
+    named = good.select(F.col(f"`{id_col}`").alias("id"), *([F.col(f"`{order}`").alias("__order")] if order else []), y.alias("y"), x.alias("x"), extra.alias("carry"))
+    points = first_of_each(named, "__order" if order else None)
     own = grid.locate(points, "y", "x")
     crowded = own.groupBy("band", "cell").agg(F.count("*").alias("many")).where(F.col("many") > CROWDED).select("band", "cell", F.lit(True).alias("crowded"))
     target = own.join(crowded, ["band", "cell"], "left").withColumn("part", F.when(F.col("crowded"), F.col("part")).otherwise(-1))
     reach = grid.cover(points, "y", "x").join(crowded, ["band", "cell"], "left")
     parts = F.when(F.col("crowded"), grid.parts("y", "x")).otherwise(F.array(F.struct(F.lit(-1).alias("part"), F.lit(False).alias("interior"))))
-    reach = reach.withColumn("p", F.explode(parts)).select("id", "y", "x", "band", "cell", "p.part", "p.interior", *carry)
+    reach = reach.withColumn("p", F.explode(parts)).select("id", "y", "x", "band", "cell", "p.part", "p.interior", *(["carry"] if carry else []))
     a, b = reach.alias("a"), target.alias("b")
     same = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") == F.col("b.part"))
     distance = haversine_km(F.col("a.y"), F.col("a.x"), F.col("b.y"), F.col("b.x"))
     near = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.interior") | (distance <= radius_km)))
-    names = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in carry]
+    names = [F.col(f"{s}.carry.c{k}").alias(f"{c}_{s}") for s in "ab" for k, c in enumerate(carry)]
     return near.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), distance.alias("distance_km"), *names)

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 CANDIDATES = [",", ";", "|", "/", "\t", "\n", "\r", " "]
 #: Least score of a delimiter.
 LEAST_SCORE = 0.2
-# Texts in straight double, straight single or typographic double quotes; a straight quote is doubled inside.
-_QUOTED = "\"(?:[^\"]|\"\")*+\"|'(?:[^']|'')*+'|“[^”]*”"
+# A text in quotes; a straight quote is doubled inside.  Where no closing quote follows, the last doubled one closes,
+# as if its second half stood alone.  Repetitions are possessive, which Java matches without recursion, whatever
+# the length.
+_STRAIGHT = r"""Q[^Q]*+(?:QQ[^Q]*+)*+Q|Q[\s\S]*Q(?=Q[^Q]*\z)"""
+_QUOTED = "|".join((_STRAIGHT.replace("Q", '"'), _STRAIGHT.replace("Q", "'"), "“[^”]*+”"))
 _QUOTES = "\"'“”"
 _BRACKETS = r"\[\](){}"
 
@@ -41,12 +44,12 @@ def infer_delimiters(df: DataFrame, fields: list[Field], source: str | None = No
     The score is their mean.
     """
     where = F.lit("") if source is None else F.coalesce(F.col(source).cast("string"), F.lit(""))
-    clean = r"^[\s\p{Z}]*(?:[0-9]+|Q)[\s\p{Z}]*$"
+    clean = r"^[\s\p{Z}]*(?:[0-9]+|Q)[\s\p{Z}]*\z"
     rows = df.select(where.alias("source"), F.explode(F.array(*(F.struct(F.lit(f.name).alias("field"), _bare(F.col(f"`{f.name}`"), f).alias("v")) for f in fields))).alias("x"))
     rows = rows.where("x.v is not null").select("source", "x.field", "x.v", F.explode(F.array(*map(F.lit, CANDIDATES))).alias("delimiter")).where(F.contains("v", "delimiter"))
     pieces = F.split("v", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
     good = F.size(F.filter(pieces, lambda p: p.rlike(clean)))
-    some = F.size(F.filter(pieces, lambda p: ~p.rlike(r"^[\s\p{Z}]*$")))
+    some = F.size(F.filter(pieces, lambda p: ~p.rlike(r"^[\s\p{Z}]*\z")))
     judged = rows.select("source", "field", "delimiter", (good / F.greatest(some, F.lit(1))).alias("r"), (good == some).cast("double").alias("c"))
     by = judged.groupBy("source", "field", "delimiter").agg(F.count("*").alias("rows"), F.avg("c").alias("consistency"), F.avg("r").alias("regularity"))
     return by.withColumn("score", (F.col("consistency") + F.col("regularity")) / 2).withColumn("accepted", F.col("score") >= least)
@@ -61,7 +64,7 @@ def values(value: Column, field: Field, delimiters: list[str]) -> Column:
     cut = "".join(re.escape(d) for d in delimiters)
     if not field.quoted:
         pieces = F.regexp_extract_all(value, F.lit(f"[^{cut}{_QUOTES}{_BRACKETS}]+"), F.lit(0))
-        return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]+$"), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit("[0-9]+"), F.lit(0)))))
+        return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike(r"^[0-9]+\z"), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit("[0-9]+"), F.lit(0)))))
     pieces = F.regexp_extract_all(value, F.lit(f"{_QUOTED}|[^{cut}{_QUOTES}{_BRACKETS}]+"), F.lit(0))
 
     def taken(p: Column) -> Column:
@@ -71,7 +74,7 @@ def values(value: Column, field: Field, delimiters: list[str]) -> Column:
             F.when(first == '"', F.array(F.replace(body, F.lit('""'), F.lit('"'))))
             .when(first == "'", F.array(F.replace(body, F.lit("''"), F.lit("'"))))
             .when(first == "“", F.array(body))
-            .when(p.rlike("^[0-9]+$"), F.array(p))
+            .when(p.rlike(r"^[0-9]+\z"), F.array(p))
             .otherwise(F.regexp_extract_all(p, F.lit("[0-9]+"), F.lit(0)))
         )
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A record whose quotes are in order: fields are quoted as a whole, inner quotes doubled, or hold no quote.
@@ -151,4 +152,4 @@ def load_records(df: DataFrame, fields: Fields, line: str = "line", keep: list[s
                 cols += [pa.array([v[k] for _, v in done], types[k]) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays(cols, names=out).filter(mask)
 
-    return df.select(*keep, df[line].cast("string").alias("__line")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{line}`").cast("string").alias("__line")).mapInArrow(run, schema)

@@ -35,10 +35,10 @@ class KvStore:
         self.page_bytes = meta["page_bytes"]
 
     def _read_meta(self) -> dict | None:
-        at = self._Path(f"{self.path}/_current.json")
+        at = self._Path(f"{self.path}/current.json")
         if not self._fs.exists(at):
             return None
-        got = self.spark.read.text(f"{self.path}/_current.json", wholetext=True).first()
+        got = self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()
         return json.loads(got[0])
 
     def _write_meta(self, meta: dict) -> None:
@@ -46,7 +46,7 @@ class KvStore:
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        at = self._Path(f"{self.path}/_current.json")
+        at = self._Path(f"{self.path}/current.json")
         if self._fs.exists(at):
             self._fs.delete(at, False)
         self._fs.rename(new, at)
