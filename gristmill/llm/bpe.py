@@ -290,14 +290,16 @@ class Bpe:
             while todo.size:
                 more = many[todo] > nth
                 cand = np.where(more, token[np.minimum(first[todo] + nth, max(len(token) - 1, 0))] if len(token) else -1, self.byte_id[data[todo]])
+                if (lost := cand < 0).any():
+                    raise ValueError(f"the vocabulary has no token for byte {int(data[todo[lost][0]])}")
                 size = self.length[cand]
                 whole = size == inside[todo]
                 good = whole.copy()
                 if (part := np.flatnonzero(~whole)).size:
                     good[part] = self.stable(last[todo[part] - size[part]], cand[part])
                 last[todo[good]] = cand[good]
-                if (stuck := ~good & ~more).any():
-                    raise ValueError(f"no token can end at byte {int(todo[stuck][0])}; the vocabulary isn't a full byte-level BPE")
+                if (~good & ~more).any():
+                    raise ValueError("no token can end at some byte; the merges aren't those of a byte-level BPE")
                 todo, nth = todo[~good], nth + 1
         return last
 

@@ -1,5 +1,35 @@
-"""The SQL of this package's queries, for DuckDB."""
+"""The SQL of this package's queries, for DuckDB.
+
+Token ids, packing and spam have no SQL; near-duplicates have none that is fast enough on whole tables.
+They are tested against brute force, exact round trips or labelled pages instead.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_FOLD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '([0-9])([.,])([0-9])', '\1<\2>\3', 'g'), '([0-9])([.,])([0-9])', '\1<\2>\3', 'g'), '<([.,])>|[^\pL\pN<>]', '\1', 'g'), '[<>]', '', 'g')"
+# A point or comma between digits is marked first, in two passes as matches may not overlap, and with signs that are cut from the text before.
+_CLEAN = "translate({x}, '<>', '  ')"
+
+
+def _fold(x: str) -> str:
+    return _FOLD.replace("{x}", _CLEAN.replace("{x}", x))
+
+
+_LABELLED = r"'(?i)^[^\pL\pN]*(population|exposure|comparator|outcome|direction)[\s\pZ]*[:=]'"
+_SAME = rf"""
+WITH RECURSIVE c AS (SELECT DISTINCT id, claim FROM claims_test WHERE id IS NOT NULL AND claim IS NOT NULL),
+f AS (SELECT id, {_fold("claim")} AS flat, list_filter(regexp_split_to_array(claim, '[;|]'), lambda p: regexp_matches(p, '[\pL\pN]')) AS p FROM c),
+r AS (SELECT id, flat, CASE WHEN len(p) >= 2 AND len(list_filter(p, lambda x: NOT regexp_matches(x, {_LABELLED}))) = 0 THEN CAST(list_sort(list_transform(p, lambda x: {_fold("x")})) AS VARCHAR) END AS fields FROM f WHERE flat <> ''),
+e AS (SELECT id, min(id) OVER (PARTITION BY flat) AS m FROM r UNION SELECT id, min(id) OVER (PARTITION BY fields) FROM r WHERE fields IS NOT NULL),
+b AS (SELECT id, m FROM e UNION SELECT m, id FROM e),
+w(id, k) AS (SELECT id, m FROM e UNION SELECT w.id, b.m FROM w JOIN b ON w.k = b.id),
+g AS (SELECT id, min(k) AS keep_id FROM w GROUP BY id)"""
+_LABELS = r"""WITH l AS (SELECT id, min(upper(regexp_replace(evidence_label, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'))) AS c FROM claims_test WHERE id IS NOT NULL GROUP BY id),
+n AS (SELECT c, count(*) AS n FROM l GROUP BY c),
+t AS (SELECT plan_id, evidence_label, greatest(min_rows, CAST(round(target_share * sample_size) AS BIGINT)) AS wanted, coalesce(n.n, 0) AS available FROM sample_targets LEFT JOIN n ON upper(trim(evidence_label)) = n.c)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"{_SAME} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
+    "p3_copies": f"{_SAME} SELECT keep_id, count(*) AS n_copies FROM g GROUP BY keep_id",
+    "p6_found": f"{_LABELS} SELECT plan_id, evidence_label FROM t WHERE wanted > available",
+}

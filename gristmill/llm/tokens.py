@@ -61,7 +61,7 @@ def _map(df: DataFrame, text: str, keep: list[str], out: str, path: str, schema:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), result], names=[*keep, out])
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def encode_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "ids", tokenizer: str | None = None) -> DataFrame:

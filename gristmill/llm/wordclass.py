@@ -36,7 +36,9 @@ PAD, LINE, OTHER_SIGN = 0, 1, 2
 _SIGN0 = 3
 _KIND0 = _SIGN0 + len(SIGNS)
 _REP0 = _KIND0 + len(WORD_KINDS)
-_WORD0 = _REP0 + len(WORD_KINDS)
+#: A word that stands among the two before it.
+ECHO = _REP0 + len(WORD_KINDS)
+_WORD0 = ECHO + 1
 SYMBOLS = _WORD0 + len(WORDS)
 _ENDS = np.array([_SIGN0 + SIGNS.index(c) for c in ".!?"])
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -177,11 +179,11 @@ def symbols(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # The row goes into the key, so that repeats don't reach over rows.
     key = h ^ (row_of.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     order = np.argsort(key, kind="stable")
-    near = np.zeros(len(w), bool)
+    gap = np.full(len(w), REPEAT_WITHIN + 1)
     if len(w) > 1:
-        same = (key[order][1:] == key[order][:-1]) & (np.diff(order) <= REPEAT_WITHIN)
-        near[order[1:][same]] = True
-    out[is_word] = np.where(func, ids[k], np.where(near & (kind_of != 8), _REP0, _KIND0) + kind_of)
+        gap[order[1:]] = np.where(key[order][1:] == key[order][:-1], np.diff(order), REPEAT_WITHIN + 1)
+    near = (gap <= REPEAT_WITHIN) & (kind_of != 8)
+    out[is_word] = np.where(func, ids[k], np.where(near & (gap <= 2), ECHO, np.where(near, _REP0, _KIND0) + kind_of))
     return out, chars, np.searchsorted(at, row_at)
 
 
