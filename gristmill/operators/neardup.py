@@ -27,6 +27,8 @@ PRIME = (1 << 31) - 1
 _MAX = np.int64((1 << 63) - 1)
 #: Texts hashed at once in a task.
 BATCH_TEXTS = 1000
+#: 64-bit words of a set's parity bitmap, a power of two.
+PARITY_WORDS = 8
 
 
 @dataclass(frozen=True)
@@ -179,28 +181,56 @@ def lsh_pairs(groups: Classes, params: Params = Params(), verify: str = "estimat
     return _scored(pairs, groups.sets, "shingles", exact, params.threshold)
 
 
+def parity_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bitmaps of sets, each member toggling one bit: two sets differ in as many members, at least, as their bitmaps in bits."""
+    n, bits = len(counts), 64 * PARITY_WORDS
+    x = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.repeat(np.arange(n), counts) * bits + ((x ^ (x >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, PARITY_WORDS)
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    kind = sets.schema["id"].dataType.simpleString()
+    names = [f"p{k}" for k in range(PARITY_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_TEXTS):
+                part = batch.slice(lo, BATCH_TEXTS)
+                lists = part.column(1)
+                words = parity_words(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.diff(lists.offsets.to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY_WORDS))], names=["id", *names])
+
+    return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, " + ", ".join(f"{p} bigint" for p in names))
+
+
 def exact_pairs(groups: Classes, threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity) of all classes with at least the given exact similarity.
 
     The same result as comparing all with all, without doing so: two sets this similar share one of the
     rarest members of each, as many as the threshold leaves room for.  Members are ranked by how many sets hold
-    them; each set is listed under its prefix of rarest members, with its size to drop pairs too unequal.
+    them; each set is listed under its prefix of rarest members.  Pairs under one member are dropped if
+    their sizes, the places of the member or their parity bitmaps rule the threshold out; what is left is compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
     long = groups.sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = long.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = long.join(counts, "s")
     rare = Window.partitionBy("id").orderBy("df", "s")
     need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
-    entries = ranked.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("n") - need + 1).select("id", "n", "s", "r")
-    entries = materialize(entries, "prefixes")
+    # A member of one set only has no partner; it counts for the others' places.
+    ranked = long.join(counts, "s").withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("n") - need + 1) & (F.col("df") > 1))
+    entries = materialize(ranked.select("id", "n", "s", "r").join(_bitmaps(groups.sets), "id"), "prefixes")
     a, b = entries.alias("a"), entries.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     # What the two can still share after the places already passed.
     rest = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + F.least("a.r", "b.r")
-    enough = rest * (1 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold - 1e-9
-    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & (small >= large * threshold - 1e-9) & enough
+    both = F.col("a.n") + F.col("b.n")
+    enough = rest * (1 + threshold) >= both * threshold - 1e-9
+    differ = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(1, PARITY_WORDS)), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
+    alike = differ * (1 + threshold) <= both * (1 - threshold) + 1e-9
+    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & (small >= large * threshold - 1e-9) & enough & alike
     pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     return _scored(pairs, groups.sets, "shingles", exact, threshold)
 
