@@ -222,16 +222,18 @@ def exact_pairs(groups: Classes, threshold: float = 0.5) -> DataFrame:
     # A member of one set only has no partner; it counts for the others' places.
     ranked = long.join(counts, "s").withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("n") - need + 1) & (F.col("df") > 1))
     entries = materialize(ranked.select("id", "n", "s", "r").join(_bitmaps(groups.sets), "id"), "prefixes")
-    a, b = entries.alias("a"), entries.alias("b")
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    # Of a pair, ``a`` is the smaller set, or has the smaller id; with a partner no smaller it needs a shorter prefix.
+    half = F.ceil(F.col("n") * F.lit(2 * threshold / (1 + threshold)) - 1e-9)
+    a, b = entries.where(F.col("r") <= F.col("n") - half + 1).alias("a"), entries.alias("b")
+    ahead = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
     # What the two can still share after the places already passed.
     rest = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + F.least("a.r", "b.r")
     both = F.col("a.n") + F.col("b.n")
     enough = rest * (1 + threshold) >= both * threshold - 1e-9
     differ = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(1, PARITY_WORDS)), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
     alike = differ * (1 + threshold) <= both * (1 - threshold) + 1e-9
-    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & (small >= large * threshold - 1e-9) & enough & alike
-    pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    near = (F.col("a.s") == F.col("b.s")) & ahead & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & enough & alike
+    pairs = a.join(b, near).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     return _scored(pairs, groups.sets, "shingles", exact, threshold)
 
 

@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_written: set[str] = set()
 
 
 def local_session(name: str = "gristmill", cores: str = "*", **conf: str) -> SparkSession:
@@ -67,14 +68,25 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_materialized(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    _delete(df.sparkSession, [p for p in _written if any(f.rsplit("/", 1)[-1] == p.rsplit("/", 1)[-1] for f in folders)])
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Delete all tables that this process has materialized; results that weren't read or written yet need them."""
+    _delete(spark, list(_written))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in paths:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.discard(folder)
