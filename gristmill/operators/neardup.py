@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrow import parts
 from gristmill.functions.hashing import JavaRandom, units
 from gristmill.session import materialize
 
 PRIME = (1 << 31) - 1
 _MAX = np.int64((1 << 63) - 1)
-#: Texts hashed at once in a task.
-BATCH_TEXTS = 1000
+#: Bytes of text hashed at once in a task, and sets hashed to signatures or bitmaps at once.
+BATCH_BYTES, BATCH_SETS = 1 << 20, 500
 #: 64-bit words of a set's parity bitmap, a power of two.
 PARITY_WORDS = 8
 
@@ -95,8 +96,7 @@ def shingle_sets(df: DataFrame, id_col: str, text: str, k: int = 3) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(lo, BATCH_TEXTS)
+            for part in parts(batch, 1, BATCH_BYTES):
                 h, counts = shingle_hashes(part.column(1).to_pylist(), k)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(h))], names=["id", "shingles"])
@@ -111,11 +111,13 @@ def signatures(sets: DataFrame, params: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-            sig = min_hashes(h, np.diff(lists.offsets.to_numpy()), functions)
-            offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * np.int32(sig.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))], names=["id", "sig"])
+            for lo in range(0, batch.num_rows, BATCH_SETS):
+                part = batch.slice(lo, BATCH_SETS)
+                lists = part.column(1)
+                h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+                sig = min_hashes(h, np.diff(lists.offsets.to_numpy()), functions)
+                offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * np.int32(sig.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))], names=["id", "sig"])
 
     return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, sig array<bigint>")
 
@@ -196,8 +198,8 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(lo, BATCH_TEXTS)
+            for lo in range(0, batch.num_rows, BATCH_SETS):
+                part = batch.slice(lo, BATCH_SETS)
                 lists = part.column(1)
                 words = parity_words(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.diff(lists.offsets.to_numpy()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY_WORDS))], names=["id", *names])
