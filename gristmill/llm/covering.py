@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrow import parts
 from gristmill.functions.text import fold
 from gristmill.operators.components import components
 from gristmill.session import materialize
@@ -34,8 +34,8 @@ CHECK_BITS, CHECK_PLACES = 3, 21
 #: Standard deviations that the number of differing places may lie above its mean at the least similarity.
 CHECK_SIGMAS = 4.0
 SEED = 20260101
-#: Pairs of texts compared at once in a task.
-COMPARE_ROWS = 20_000
+#: Bytes of text sketched at once in a task, and texts whose sets a task keeps for comparing.
+SKETCH_BYTES, KEPT_SETS = 1 << 18, 2_000
 
 
 def masks(radius: int = RADIUS) -> np.ndarray:
@@ -132,8 +132,7 @@ def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for part in parts(batch, 1, SKETCH_BYTES):
                 some, keys, checks = sketch(part.column(1).to_pylist(), radius, blocks)
                 ids = part.column(0).filter(pa.array(some))
                 offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(keys.shape[1]))
@@ -151,17 +150,16 @@ def verify_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFr
     """(a, b, similarity) of the pairs whose sets of substrings have at least the given Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, frozenset] = ("", frozenset())
+        sets: dict[str, frozenset] = {}
         for batch in batches:
             a, b, ta, tb = (batch.column(k) for k in range(4))
             score = np.zeros(batch.num_rows)
-            sets: dict[str, frozenset] = {}
             for k, (x, y) in enumerate(zip(ta.to_pylist(), tb.to_pylist())):
                 got = []
                 for t in (x, y):
                     s = sets.get(t)
                     if s is None:
-                        if len(sets) > COMPARE_ROWS:
+                        if len(sets) > KEPT_SETS:
                             sets.clear()
                         s = sets[t] = frozenset(t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1))
                     got.append(s)

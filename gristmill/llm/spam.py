@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrow import row_chunks, text_bytes
 from gristmill.llm import bpe
 from gristmill.llm import wordclass as wc
-from gristmill.llm.tokens import row_chunks, text_bytes
 from gristmill.session import materialize
 
 #: Symbols from which a sentence or line is scored on its own; shorter ones go together.
@@ -102,7 +102,7 @@ def plain_text(column: pa.Array) -> pa.Array:
 
 
 def _word_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Each row's symbols and the characters of each, as bytes, in numbers of two bytes."""
+    """Each row's symbols, in numbers of two bytes, and the characters of each, in numbers of four."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +112,8 @@ def _word_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
                 sym, chars, first = wc.symbols(data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo])
                 keep = prose_segments(sym, chars, first[:-1])
                 codes, counts = np.unique(wc.context(sym, first[:-1])[keep], return_counts=True) if keep.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                both = [sym.astype("<u2"), np.minimum(chars, 65535).astype("<u2")]
-                cols = [pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * 2).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x in both]
+                both = [sym.astype("<u2"), chars.astype("<u4")]
+                cols = [pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x in both]
                 # The chunk's trigram counts ride on its first row.
                 lists = [pa.ListArray.from_arrays(pa.array([0] + [len(codes)] * (hi - lo), pa.int32()), pa.array(x.astype(np.int64))) for x in (codes, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols, *lists], names=["id", "sym", "chars", "codes", "counts"])
@@ -151,22 +151,18 @@ def score_spam(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            at, ends = text_or_bytes(batch.column(1))
-            chars, _ = text_or_bytes(batch.column(2))
-            sym, chars = at.view("<u2"), chars.view("<u2").astype(np.int64)
-            share = spam_shares(sym, chars, ends[:-1] // 2, model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share)], names=[id_col, "spam_share"])
+            _, rows = text_bytes(batch.column(1))
+            for lo, hi in row_chunks(rows, bpe.CHUNK_BYTES):
+                part = batch.slice(lo, hi - lo)
+                sym, ends = text_bytes(part.column(1))
+                chars, _ = text_bytes(part.column(2))
+                share = spam_shares(sym.view("<u2"), chars.view("<u4").astype(np.int64), ends[:-1] // 2, model)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(share)], names=[id_col, "spam_share"])
 
     kind = classes.schema["id"].dataType.simpleString()
     return classes.select("id", "sym", "chars").mapInArrow(run, f"`{id_col}` {kind}, spam_share double")
 
 
-def text_or_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    if pa.types.is_large_binary(column.type):
-        return text_bytes(column.view(pa.large_string()))
-    return text_bytes(column.view(pa.string()))
-
-
 def find_spam(df: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SPAM_SHARE) -> DataFrame:
     """Ids of rows most of whose text is keywords, search phrases, links or lists; see score_spam."""
     return score_spam(df, id_col, text).where(F.col("spam_share") > share).select(id_col)

@@ -10,32 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.functions.arrow import row_chunks, text_bytes
 from gristmill.llm import bpe
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; nulls count as empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    if not wide and not pa.types.is_string(column.type):
-        column, wide = column.cast(pa.large_string()), True
-    _, offsets, data = column.buffers()
-    rows = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets is not None and len(column) else np.zeros(len(column) + 1, np.int64)
-    low, high = (int(rows[0]), int(rows[-1])) if len(rows) else (0, 0)
-    flat = np.frombuffer(data, np.uint8)[low:high] if data is not None and high > low else np.zeros(0, np.uint8)
-    return flat, rows - low
-
-
-def row_chunks(rows: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes, one row at least."""
-    at, n = 0, len(rows) - 1
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(rows, rows[at] + limit, "right")) - 1)
-        yield at, min(end, n)
-        at = min(end, n)
-
-
 def encode_rows(encoder: bpe.Encoder, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As Encoder.encode; a single row over the chunk size is cut where a piece starts anyway."""
     if len(rows) == 2 and len(data) > 2 * bpe.CHUNK_BYTES:
