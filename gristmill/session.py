@@ -68,11 +68,20 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_forget)
     _written.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _forget() -> None:
+    """At the end of the process: its materialized tables in folders that this machine sees."""
+    for path in _written:
+        if path.startswith(("/", "file:/")):
+            shutil.rmtree(path.removeprefix("file://"), True)
+
+
 def delete_materialized(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
