@@ -1,7 +1,7 @@
 """The SQL of this package's queries, for DuckDB.
 
-Token ids, packing and spam have no SQL; near-duplicates have none that is fast enough on whole tables.
-They are tested against brute force, exact round trips or labelled pages instead.
+Token ids, packing and spam have no SQL, and random samples can't have any.  They are tested against brute
+force, exact round trips or labelled pages instead.
 """
 
 from __future__ import annotations
@@ -29,6 +29,14 @@ n AS (SELECT c, count(*) AS n FROM l GROUP BY c),
 t AS (SELECT plan_id, evidence_label, greatest(min_rows, CAST(round(target_share * sample_size) AS BIGINT)) AS wanted, coalesce(n.n, 0) AS available FROM sample_targets LEFT JOIN n ON upper(trim(evidence_label)) = n.c)"""
 
 SQL: dict[str, str] = {
+    "p1_found": rf"""
+WITH f AS (SELECT DISTINCT id, {_fold("claim")} AS t FROM claims_test WHERE id IS NOT NULL AND claim IS NOT NULL),
+u AS (SELECT t, min(id) AS rep FROM f WHERE t <> '' GROUP BY t), m AS (SELECT f.id, u.rep FROM f JOIN u ON f.t = u.t),
+w AS (SELECT rep, t, unnest(range(1, length(t) - 1)) AS p FROM u WHERE length(t) >= 3), s AS (SELECT DISTINCT rep, substr(t, p, 3) AS s FROM w),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep), o AS (SELECT x.rep AS a, y.rep AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.rep < y.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n p ON a = p.rep JOIN n q ON b = q.rep WHERE 10 * i >= 6 * (p.n + q.n - i))
+SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM l JOIN m x ON l.a = x.rep JOIN m y ON l.b = y.rep
+UNION SELECT x.id, y.id FROM m x JOIN m y ON x.rep = y.rep AND x.id < y.id""",
     "p3_found": f"{_SAME} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
     "p3_copies": f"{_SAME} SELECT keep_id, count(*) AS n_copies FROM g GROUP BY keep_id",
     "p6_found": f"{_LABELS} SELECT plan_id, evidence_label FROM t WHERE wanted > available",
