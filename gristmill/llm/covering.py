@@ -117,12 +117,11 @@ def distinct_texts(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame,
     Ids that come more than once with the same text count once.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).where("id is not null and text is not null and text <> ''")
-    rows = materialize(rows.distinct(), "texts")
-    reps = rows.groupBy("text").agg(F.min("id").alias("rep"))
-    hashed = rows.withColumn("h", F.xxhash64("text"))
+    rows = materialize(rows.withColumn("h", F.xxhash64("text")), "texts")
+    reps = materialize(rows.groupBy("h", "text").agg(F.min("id").alias("rep")), "reps")
     # Texts are joined by hash and text; a text with very many copies is split by the join's skew handling.
-    members = hashed.join(reps.withColumn("h", F.xxhash64("text")), ["h", "text"]).select("id", "rep")
-    return materialize(reps.select("rep", "text"), "reps"), members
+    members = materialize(rows.join(reps, ["h", "text"]).select("id", "rep").distinct(), "members")
+    return reps.select("rep", "text"), members
 
 
 def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
