@@ -14,7 +14,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from gristmill.session import local_session, ship_package
 
-    s = local_session("tests", cores=os.environ.get("TEST_CPUS", "4"), spark__driver__memory="4g", spark__sql__shuffle__partitions="4")
+    s = local_session("tests", cores=os.environ.get("TEST_CPUS", "4"), spark__driver__memory="4g", spark__sql__shuffle__partitions="2")
     s.sparkContext.setLogLevel("ERROR")
     ship_package(s)
     yield s
