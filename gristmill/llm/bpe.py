@@ -323,6 +323,12 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(4)
+def encoder(path: str) -> Encoder:
+    """This process's encoder, so that one Python worker's tasks share the pieces it keeps."""
+    return Encoder(load(path))
+
+
 class Encoder:
     """Encodes rows of UTF-8 bytes; keeps the ids of pieces it has seen."""
 

@@ -26,7 +26,7 @@ def encode_rows(encoder: bpe.Encoder, data: np.ndarray, rows: np.ndarray) -> tup
 
 def _map(df: DataFrame, text: str, keep: list[str], out: str, path: str, schema: T.StructType, counts_only: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.Encoder(bpe.load(path))
+        encoder = bpe.encoder(path)
         for batch in batches:
             data, rows = text_bytes(batch.column(len(keep)))
             for lo, hi in row_chunks(rows, bpe.CHUNK_BYTES):
