@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.llm import packing
 from gristmill.llm.packing import pack, pack_local
@@ -11,7 +12,7 @@ SCHEMA = "doc_id bigint, n_tokens bigint"
 
 
 def check(spark, items, plans, parts=4, **kw):
-    df = spark.createDataFrame(items, SCHEMA).repartition(parts).selectExpr("*", "1 as id", "2 as size", "3 as plan", "4 as container", "5 as grp")
+    df = spark.createDataFrame(items, SCHEMA).repartition(parts, "doc_id").selectExpr("*", "1 as id", "2 as size", "3 as plan", "4 as container", "5 as grp")
     rows = pack(df, plans, **kw).collect()
     for plan, capacity in plans:
         own = [r for r in rows if r.plan_id == plan]
@@ -35,6 +36,11 @@ def check(spark, items, plans, parts=4, **kw):
                 assert place == at
                 at += n
             assert at <= capacity
+        # Merging never leaves more containers than each task's own packing.
+        tasks = defaultdict(list)
+        for r in df.select(F.spark_partition_id().alias("task"), "n_tokens").collect():
+            tasks[r.task].append(max(r.n_tokens or 0, 0))
+        assert len(bins) <= sum(len(pack_local(np.array(t), capacity)[5]) for t in tasks.values())
     return rows
 
 
@@ -44,7 +50,8 @@ def test_all_items_once_and_dense(spark):
     rows = check(spark, items, [(1, 64), (2, 256), (3, 4096)], parts=20)
     for plan, capacity in ((1, 64), (2, 256), (3, 4096)):
         used = len({r.container for r in rows if r.plan_id == plan})
-        assert used <= 1.01 * len(pack_local(np.array([n for _, n in items]), capacity)[5]) + 1
+        # Each of 20 tasks fills only 4 of the largest containers; packing in parts costs a few per cent there.
+        assert used <= 1.03 * len(pack_local(np.array([n for _, n in items]), capacity)[5]) + 1
 
 
 def test_open_containers_of_many_partitions_are_merged(spark):
@@ -56,7 +63,8 @@ def test_open_containers_of_many_partitions_are_merged(spark):
 def test_items_over_half_cannot_be_combined(spark, monkeypatch):
     monkeypatch.setattr(packing, "HANDED_ON", 3)
     rows = check(spark, [(i, 60) for i in range(200)] + [(1000 + i, 40) for i in range(200)], [(1, 100)], parts=8)
-    assert len({r.container for r in rows}) <= 205
+    # Containers are merged whole: two items of 40 that one task joined aren't parted again for another task's 60.
+    assert 200 <= len({r.container for r in rows}) <= 230
 
 
 def test_odd_sizes(spark):
