@@ -83,9 +83,16 @@ def min_hashes(hashes: np.ndarray, counts: np.ndarray, functions: list[tuple[int
     starts = (np.cumsum(counts) - counts)[some]
     x = (hashes & _MAX).view(np.uint64)
     fits = int(x.max()) < 1 << 31
+    low, shift = np.uint64(PRIME), np.uint64(31)
     for i, (a, b) in enumerate(functions):
         v = x * np.uint64(a) + np.uint64(b)
-        v = v % np.uint64(PRIME) if fits else np.fmod(v.view(np.int64), np.int64(PRIME))
+        if fits:
+            # Modulo 2**31 - 1 without division: upper bits are added to the lower ones.
+            v = (v & low) + (v >> shift)
+            v = (v & low) + (v >> shift)
+            v[v >= low] -= low
+        else:
+            v = np.fmod(v.view(np.int64), np.int64(PRIME))
         out[some, i] = np.minimum.reduceat(v.view(np.int64), starts)
     return out
 
