@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.geo import haversine_km, squared_chord, squared_distance, unit_xyz
 from gristmill.operators import geo, kv, neardup
 from gristmill.operators.dictionary import PRIME, Dictionary, first_level, keep_first
+from gristmill.session import materialize
 from gristmill.sources.points import random_points
 
 PARAMS = neardup.Params()
@@ -75,6 +76,19 @@ def similar_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_to(sigs.where("id % 100 = 0"), sigs, PARAMS)
 
 
+def _lookup_rows(groups: neardup.Classes, params: neardup.Params) -> DataFrame:
+    """(q, id, similarity): classes similar to the text of each id divisible by 100; a class is searched once, whichever of its ids ask."""
+    sigs = materialize(neardup.signatures(groups.sets, params), "signatures")
+    asked = groups.members.where("id % 100 = 0").select(F.col("id").alias("asks"), F.col("class_id").alias("q"))
+    found = neardup.similar_to(sigs.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi"), sigs, params)
+    return asked.join(found, "q").select(F.col("asks").alias("q"), "id", "similarity").distinct()
+
+
+def similar_lookup_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """As similar_lookup, which asks for the classes whose smallest id is divisible by 100 only."""
+    return _lookup_rows(_classes(spark, folder), PARAMS)
+
+
 def neardup_quality(spark: SparkSession, folder: str) -> DataFrame:
     groups = _classes(spark, folder)
     q = neardup.quality(neardup.lsh_pairs(groups, PARAMS), neardup.exact_pairs(groups, PARAMS.threshold))
@@ -208,7 +222,7 @@ def geo_random_radius(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ALL = (
-    shingle_counts, minhash_signatures, neardup_members, lsh_candidates, neardup_pairs_lsh, neardup_pairs_lsh_exact, neardup_pairs_exact, similar_lookup, neardup_quality,
+    shingle_counts, minhash_signatures, neardup_members, lsh_candidates, neardup_pairs_lsh, neardup_pairs_lsh_exact, neardup_pairs_exact, similar_lookup, similar_lookup_rows, neardup_quality,
     kv_snapshot, kv_results, kv_delete_result, kv_multi_get, kv_missing, kv_merge, kv_record_bytes, kv_layout, kv_buckets,
     dict_lookup, dict_keep_first, dict_first_titles, dict_bucket_stats,
     geo_distance, geo_nearest, geo_radius, geo_radius_pruned, geo_cities, geo_random_radius,
@@ -258,6 +272,7 @@ SQL = {
     "neardup_pairs_lsh_exact": f"WITH {_SIGS}, {_EXACT.format(only='JOIN cand c ON c.a = x.id AND c.b = y.id')} {_ROUND} FROM ex",
     "neardup_pairs_exact": f"WITH {_CLASSES}, {_EXACT.format(only='')} {_ROUND} FROM ex",
     "similar_lookup": f"WITH {_SIGS}, hit AS (SELECT DISTINCT x.id AS q, y.id AS id FROM bd x JOIN bd y ON x.band = y.band AND x.k = y.k WHERE x.id % 100 = 0), sc AS (SELECT q, hit.id, len(list_filter(list_zip(x.g, y.g), lambda z: z[1] = z[2])) / 100e0 AS similarity FROM hit JOIN sg x ON q = x.id JOIN sg y ON hit.id = y.id) SELECT q, id, similarity FROM sc WHERE similarity >= 0.5",
+    "similar_lookup_rows": f"WITH {_SIGS}, hit AS (SELECT DISTINCT x.id AS q, y.id AS id FROM bd x JOIN bd y ON x.band = y.band AND x.k = y.k WHERE x.id IN (SELECT class_id FROM mem WHERE id % 100 = 0)), sc AS (SELECT q, hit.id, len(list_filter(list_zip(x.g, y.g), lambda z: z[1] = z[2])) / 100e0 AS similarity FROM hit JOIN sg x ON q = x.id JOIN sg y ON hit.id = y.id) SELECT DISTINCT mem.id AS q, sc.id, similarity FROM sc JOIN mem ON mem.class_id = q WHERE mem.id % 100 = 0 AND similarity >= 0.5",
     "neardup_quality": f"WITH {_SIGS}, {_EXACT.format(only='')}, f AS (SELECT a, b FROM est WHERE similarity >= 0.5), n AS (SELECT (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM ex) AS \"true\", (SELECT count(*) FROM f JOIN ex ON f.a = ex.a AND f.b = ex.b) AS \"both\") SELECT found, \"true\", \"both\", round(\"both\" / CAST(\"true\" AS DOUBLE), 6) AS recall, round(\"both\" / CAST(found AS DOUBLE), 6) AS precision FROM n",
     "kv_snapshot": f"WITH {_SNAP} SELECT key, value, seq FROM snap",
     "kv_results": f"WITH {_RES} SELECT seq, op, key, result, existed FROM res",
