@@ -12,6 +12,8 @@ from gristmill.session import materialize
 from gristmill.sources.points import random_points
 
 PARAMS = neardup.Params()
+#: Long texts that are alike have similarities just above the threshold: more bands, so that over 0.9 of such pairs are candidates.
+DOCUMENT_PARAMS = neardup.Params(bands=80)
 RADIUS_KM = 100.0
 # The places of the demonstration.
 CITIES = [
@@ -95,6 +97,45 @@ def neardup_quality(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("found", "true", "both", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
+# The same over the whole texts of the documents.
+
+
+def _document_classes(spark: SparkSession, folder: str) -> neardup.Classes:
+    return neardup.classes(_read(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", DOCUMENT_PARAMS.k)
+
+
+def documents_members(spark: SparkSession, folder: str) -> DataFrame:
+    return _document_classes(spark, folder).members
+
+
+def documents_lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.candidates(neardup.signatures(_document_classes(spark, folder).sets, DOCUMENT_PARAMS), DOCUMENT_PARAMS)
+
+
+def documents_pairs_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.lsh_pairs(_document_classes(spark, folder), DOCUMENT_PARAMS)
+
+
+def documents_pairs_lsh_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.lsh_pairs(_document_classes(spark, folder), DOCUMENT_PARAMS, verify="exact").withColumn("similarity", F.round("similarity", 6))
+
+
+def documents_pairs_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.exact_pairs(_document_classes(spark, folder), DOCUMENT_PARAMS.threshold).withColumn("similarity", F.round("similarity", 6))
+
+
+def documents_similar_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return _lookup_rows(_document_classes(spark, folder), DOCUMENT_PARAMS)
+
+
+def documents_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for either way to verify candidates."""
+    groups = _document_classes(spark, folder)
+    true = materialize(neardup.exact_pairs(groups, DOCUMENT_PARAMS.threshold), "true")
+    rows = [neardup.quality(neardup.lsh_pairs(groups, DOCUMENT_PARAMS, v), true).withColumn("verify", F.lit(v)) for v in ("estimated", "exact")]
+    return rows[0].unionByName(rows[1]).select("verify", "found", "true", "both", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
 # The keyed table.
 
 
@@ -223,6 +264,7 @@ def geo_random_radius(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (
     shingle_counts, minhash_signatures, neardup_members, lsh_candidates, neardup_pairs_lsh, neardup_pairs_lsh_exact, neardup_pairs_exact, similar_lookup, similar_lookup_rows, neardup_quality,
+    documents_members, documents_lsh_candidates, documents_pairs_lsh, documents_pairs_lsh_exact, documents_pairs_exact, documents_similar_lookup, documents_quality,
     kv_snapshot, kv_results, kv_delete_result, kv_multi_get, kv_missing, kv_merge, kv_record_bytes, kv_layout, kv_buckets,
     dict_lookup, dict_keep_first, dict_first_titles, dict_bucket_stats,
     geo_distance, geo_nearest, geo_radius, geo_radius_pruned, geo_cities, geo_random_radius,
@@ -243,6 +285,23 @@ bd AS (SELECT id, i // 5 AS band, list(m ORDER BY i) AS k FROM m GROUP BY id, i
 cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.band = y.band AND x.k = y.k AND x.id < y.id),
 est AS (SELECT a, b, len(list_filter(list_zip(x.g, y.g), lambda z: z[1] = z[2])) / 100e0 AS similarity FROM cand JOIN sg x ON a = x.id JOIN sg y ON b = y.id)"""
 _EXACT = "ov AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM cs x JOIN cs y ON x.s = y.s AND x.id < y.id {only} GROUP BY 1, 2), ex AS (SELECT a, b, i / CAST(p.n + q.n - i AS DOUBLE) AS similarity FROM ov JOIN cn p ON a = p.id JOIN cn q ON b = q.id WHERE i / CAST(p.n + q.n - i AS DOUBLE) >= 0.5)"
+# Units of UTF-16 are spelled out, as texts have characters of two.
+_DOCUMENT_SHINGLES = """d AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS t FROM documents),
+cu AS (SELECT id, flatten(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)) AS u FROM d WHERE t <> ''),
+w AS (SELECT id, unnest(u) AS c, generate_subscripts(u, 1) AS p FROM cu),
+v AS (SELECT id, c * 961 + lead(c, 1) OVER (PARTITION BY id ORDER BY p) * 31 + lead(c, 2) OVER (PARTITION BY id ORDER BY p) AS s FROM w),
+s AS (SELECT DISTINCT id, CAST(s AS BIGINT) AS s FROM v WHERE s IS NOT NULL)"""
+
+
+def _values(params: neardup.Params) -> str:
+    return "prm(i, a, b) AS (VALUES " + ", ".join(f"({i}, CAST({a} AS BIGINT), CAST({b} AS BIGINT))" for i, (a, b) in enumerate(params.functions)) + ")"
+
+
+def _of_documents(sql: str) -> str:
+    """Statements over the claims, over the documents."""
+    return sql.replace(_SHINGLES, _DOCUMENT_SHINGLES).replace(_PARAMS, _values(DOCUMENT_PARAMS)).replace("/ 100e0", f"/ {DOCUMENT_PARAMS.bands * DOCUMENT_PARAMS.rows}e0")
+
+
 _OPS = "o AS (SELECT seq, lower(trim(any_value(op))) AS op, any_value(key) AS key, CASE WHEN lower(trim(any_value(op))) = 'put' THEN coalesce(any_value(value), '') END AS value FROM kv_log WHERE seq IS NOT NULL AND key IS NOT NULL GROUP BY seq)"
 _SNAP = f"{_OPS}, z AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM o WHERE op IN ('put', 'delete')), snap AS (SELECT key, value, seq FROM z WHERE n = 1 AND op = 'put')"
 _RES = f"{_OPS}, y AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN seq END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM o WHERE op IN ('put', 'get', 'delete')), res AS (SELECT y.seq, y.op, y.key, p.value AS result, coalesce(p.op = 'put', false) AS existed FROM y LEFT JOIN o p ON y.prev = p.seq)"
@@ -295,3 +354,16 @@ SQL = {
     + f"d AS (SELECT qid, id, name, {_km('qlat', 'qlng', 'lat', 'lng')} AS km FROM q, c), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY km, id) AS r FROM d) "
     "SELECT 'nearest' AS what, qid, name, round(km, 6) AS distance_km FROM n WHERE r = 1 UNION ALL SELECT 'within 50 km', qid, name, round(km, 6) FROM d WHERE qid = 0 AND km <= 50 UNION ALL SELECT 'within 800 km', qid, name, round(km, 6) FROM d WHERE qid = 0 AND km <= 800",
 }
+_DOCUMENT_F = "f AS (SELECT 'estimated' AS verify, a, b FROM est WHERE similarity >= 0.5 UNION ALL SELECT 'exact', ex.a, ex.b FROM ex JOIN cand ON ex.a = cand.a AND ex.b = cand.b)"
+SQL |= {
+    "documents_members": _of_documents(SQL["neardup_members"]),
+    "documents_lsh_candidates": _of_documents(SQL["lsh_candidates"]),
+    "documents_pairs_lsh": _of_documents(SQL["neardup_pairs_lsh"]),
+    "documents_pairs_lsh_exact": _of_documents(SQL["neardup_pairs_lsh_exact"]),
+    "documents_pairs_exact": _of_documents(SQL["neardup_pairs_exact"]),
+    "documents_similar_lookup": _of_documents(SQL["similar_lookup_rows"]),
+    "documents_quality": _of_documents(
+        f"WITH {_SIGS}, {_EXACT.format(only='')}, {_DOCUMENT_F}, t AS (SELECT count(*) AS n FROM ex), g AS (SELECT verify, count(f.a) AS found, (SELECT n FROM t) AS \"true\", count(ex.a) AS \"both\" FROM (VALUES ('estimated'), ('exact')) y(verify) LEFT JOIN f USING (verify) LEFT JOIN ex ON f.a = ex.a AND f.b = ex.b GROUP BY verify) "
+        "SELECT verify, found, \"true\", \"both\", CASE WHEN \"true\" = 0 THEN 1e0 ELSE round(\"both\" / CAST(\"true\" AS DOUBLE), 6) END AS recall, CASE WHEN found = 0 THEN 1e0 ELSE round(\"both\" / CAST(found AS DOUBLE), 6) END AS precision FROM g"
+    ),
+}
