@@ -7,7 +7,8 @@ Within a block, place i (counted from 1) is labelled with the bits of i, and the
 non-zero vector v of as many bits: its mask keeps the places whose label has an odd number of bits in
 common with v.  Any set of at most ``radius`` places is orthogonal to some v, so two blocks that differ in at
 most ``radius`` places agree under some mask and collide in that table: no pair within the radius is
-lost, whichever places differ.  All candidates are then compared exactly.
+lost, whichever places differ.  Candidates whose numbers of substrings or parity bitmaps rule the similarity
+out are dropped, which loses none that has it; all others are then compared exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.arrow import parts
 from gristmill.functions.text import fold
 from gristmill.operators.components import components
+from gristmill.operators.neardup import parity_words
 from gristmill.session import materialize
 
 SHINGLE = 3
@@ -29,10 +31,8 @@ SHINGLE = 3
 RADIUS = 2
 BLOCKS = 12
 PLACE_BITS = 9
-#: Bits of each place in the check words that a candidate pair must agree in before it is passed on.
-CHECK_BITS, CHECK_PLACES = 3, 21
-#: Standard deviations that the number of differing places may lie above its mean at the least similarity.
-CHECK_SIGMAS = 4.0
+#: 64-bit words of a set's parity bitmap, a power of two.
+CHECK_WORDS = 4
 SEED = 20260101
 #: Bytes of text sketched at once in a task, and texts whose sets a task keeps for comparing.
 SKETCH_BYTES, KEPT_SETS = 1 << 18, 2_000
@@ -65,7 +65,7 @@ def shingle_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: whether it has a substring, its table keys, its check words."""
+    """Of each text: whether it has a substring, its table keys, its check columns (distinct substrings, parity bitmap)."""
     width = (1 << (radius + 1)) - 1
     places = width * blocks
     codes, counts = shingle_codes(texts)
@@ -85,30 +85,26 @@ def sketch(texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> tupl
         words[:, k // width] |= field[k] << np.uint64(PLACE_BITS * (k % width))
     own = masks(radius)
     table = (np.arange(blocks * width, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    keys = _mix((words[:, :, None] & own[None, None, :]).reshape(n, -1) ^ _mix(table)[None, :])
-    checks = np.zeros((n, -(-places // CHECK_PLACES)), np.uint64)
-    for k in range(places):
-        checks[:, k // CHECK_PLACES] |= (low[k] & np.uint64((1 << CHECK_BITS) - 1)) << np.uint64(CHECK_BITS * (k % CHECK_PLACES))
-    return some, keys.view(np.int64), checks.view(np.int64)
-
-
-def most_differing(similarity: float, places: int) -> int:
-    """Places in which the check words of a pair of the least similarity may differ."""
-    p = (1 - similarity) * (1 - 0.5**CHECK_BITS)
-    return int(np.floor(places * p + CHECK_SIGMAS * np.sqrt(places * p * (1 - p))))
-
-
-def differing(a: list[Column], b: list[Column]) -> Column:
-    """Number of places in which check words differ."""
-    ones = F.lit(sum(1 << (CHECK_BITS * k) for k in range(CHECK_PLACES))).cast("long")
-    total = F.lit(0)
-    for x, y in zip(a, b):
-        z = x.bitwiseXOR(y)
-        any_bit = z
-        for k in range(1, CHECK_BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(z, k))
-        total = total + F.bit_count(any_bit.bitwiseAND(ones))
-    return total
+    keys = _mix((words[:, :, None] & own[None, None, :]).reshape(n, blocks * width) ^ _mix(table)[None, :])
+    row = np.repeat(np.arange(n), counts[some])
+    order = np.lexsort((codes, row))
+    codes, row = codes[order], row[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    sizes = np.bincount(row[new], minlength=n).astype(np.int64)
+    checks = np.column_stack([sizes, parity_words(codes[new], sizes, CHECK_WORDS)])
+    return some, keys.view(np.int64), checks
+
+
+def may_reach(a: list[Column], b: list[Column], similarity: float) -> Column:
+    """False only for pairs of check columns whose sets can't have the similarity.
+
+    The smaller set has at least that share of the larger one's members, and the sets differ in at least as
+    many members as their bitmaps in bits.
+    """
+    both = a[0] + b[0]
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.lit(0))
+    return (F.least(a[0], b[0]) >= F.greatest(a[0], b[0]) * similarity - 1e-9) & (differ * (1 + similarity) <= both * (1 - similarity) + 1e-9)
 
 
 def distinct_texts(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +121,8 @@ def distinct_texts(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame,
 
 
 def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that collide in some table and agree enough in their check words."""
-    width = (1 << (radius + 1)) - 1
-    words = -(-width * blocks // CHECK_PLACES)
+    """Distinct pairs (a, b), a < b, that collide in some table and may have the similarity by their check columns."""
+    names = [f"c{k}" for k in range(1 + CHECK_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +130,12 @@ def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, bl
                 some, keys, checks = sketch(part.column(1).to_pylist(), radius, blocks)
                 ids = part.column(0).filter(pa.array(some))
                 offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), *(pa.array(np.ascontiguousarray(checks[:, k])) for k in range(words))], names=["rep", "keys", *(f"c{k}" for k in range(words))])
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), *(pa.array(np.ascontiguousarray(checks[:, k])) for k in range(len(names)))], names=["rep", "keys", *names])
 
-    schema = "rep bigint, keys array<bigint>, " + ", ".join(f"c{k} bigint" for k in range(words))
-    names = [f"c{k}" for k in range(words)]
+    schema = "rep bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in names)
     entries = reps.select(F.col("rep").cast("long"), "text").mapInArrow(run, schema).select("rep", *names, F.explode("keys").alias("key"))
     a, b = entries.alias("a"), entries.alias("b")
-    near = differing([F.col(f"a.{c}") for c in names], [F.col(f"b.{c}") for c in names]) <= most_differing(similarity, width * blocks)
+    near = may_reach([F.col(f"a.{c}") for c in names], [F.col(f"b.{c}") for c in names], similarity)
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 

@@ -190,13 +190,13 @@ def lsh_pairs(groups: Classes, params: Params = Params(), verify: str = "estimat
     return _scored(pairs, groups.sets, "shingles", exact, params.threshold)
 
 
-def parity_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def parity_words(hashes: np.ndarray, counts: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """Bitmaps of sets, each member toggling one bit: two sets differ in as many members, at least, as their bitmaps in bits."""
-    n, bits = len(counts), 64 * PARITY_WORDS
+    n, bits = len(counts), 64 * words
     x = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     at = np.repeat(np.arange(n), counts) * bits + ((x ^ (x >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(n, PARITY_WORDS)
+    return np.packbits(odd).view(np.int64).reshape(n, words)
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
