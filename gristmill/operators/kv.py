@@ -72,10 +72,10 @@ def results(ops: DataFrame, stretch: int = STRETCH) -> DataFrame:
     marks = cut.select("key", "stretch").distinct().join(ends, ["key", "stretch"], "left")
     before = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = marks.select("key", "stretch", F.last("x", True).over(before).alias("start")).where("start is not null")
-    carried = starts.select(F.lit(-1).cast("long").alias("seq"), F.col("start.op").alias("op"), "key", F.col("start.value").alias("value"), "stretch")
-    earlier = Window.partitionBy("key", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.select(F.col("start.seq").alias("seq"), F.col("start.op").alias("op"), "key", F.col("start.value").alias("value"), "stretch", F.lit(True).alias("carried"))
+    earlier = Window.partitionBy("key", "stretch").orderBy(F.desc("carried"), "seq").rowsBetween(Window.unboundedPreceding, -1)
     change = F.when(F.col("op") != "get", F.struct("op", "value"))
-    done = cut.unionByName(carried).withColumn("prev", F.last(change, True).over(earlier)).where("seq >= 0")
+    done = cut.withColumn("carried", F.lit(False)).unionByName(carried).withColumn("prev", F.last(change, True).over(earlier)).where("not carried")
     live = F.coalesce(F.col("prev.op") == "put", F.lit(False))
     return done.select("seq", "op", "key", F.when(live, F.col("prev.value")).alias("result"), live.alias("existed"))
 
