@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import spread_hashes, with_numbers
+from gristmill.session import materialize
 
 #: Operations of one key that are put in order within one task; longer histories are cut into stretches.
 STRETCH = 100_000
@@ -89,23 +92,46 @@ def layout(table: DataFrame, page_bytes: int = 4096) -> DataFrame:
     """(depth, prefix, records, bytes) of the buckets of an extendible hash directory that holds the table.
 
     A bucket of the low ``depth`` bits of the spread string hash is split while it exceeds its page, 24
-    bits at most; this is the settled layout, whatever the order of inserts.  An empty table has one
-    bucket.  Records are counted by hash first; the rounds run over the sums of overfull buckets only.
+    bits at most; this is the settled layout, whatever the order of inserts.  An empty table has one bucket.
+
+    Records are summed by hash, then to nodes of the depth at which buckets of average fill lie and two more
+    levels; the levels above are summed from these few nodes, the levels below only from records whose
+    node there is still overfull.
     """
     page = max(page_bytes, LEAST_PAGE)
     sized = table.select("key", record_bytes(F.col("key"), F.col("value")).alias("size"))
     hashed = with_numbers(sized, "key", "h", spread_hashes)
-    low = hashed.groupBy(F.col("h").bitwiseAND((1 << MAX_DEPTH) - 1).alias("h")).agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
-    # One row for each depth up to the one at which no ancestor is overfull.
-    nodes = low.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH)))).withColumn("prefix", F.col("h").bitwiseAND(F.expr("shiftleft(1L, depth) - 1")))
-    sums = nodes.groupBy("depth", "prefix").agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
-    full = sums.where((F.col("bytes") + HEADER_BYTES > page) & (F.col("depth") < MAX_DEPTH)).select("depth", "prefix")
+    low = materialize(hashed.groupBy(F.col("h").bitwiseAND((1 << MAX_DEPTH) - 1).alias("h")).agg(F.count("*").alias("records"), F.sum("size").alias("bytes")), "hashes")
+    total = low.agg(F.sum("bytes")).first()[0] or 0
+    middle = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total / page)))) + 2)
+    overfull = (F.col("bytes") + HEADER_BYTES > page) & (F.col("depth") < MAX_DEPTH)
+
+    def nodes(rows: DataFrame, first: int, last: int) -> DataFrame:
+        deep = rows.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("prefix", F.col("h").bitwiseAND(F.expr("shiftleft(1L, depth) - 1")))
+        return deep.groupBy("depth", "prefix").agg(F.sum("records").cast("long").alias("records"), F.sum("bytes").cast("long").alias("bytes"))
+
+    at = low.groupBy(F.col("h").bitwiseAND((1 << middle) - 1).alias("h")).agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+    sums = nodes(at, 0, middle)
+    if middle < MAX_DEPTH:
+        dense = at.where(F.col("bytes") + HEADER_BYTES > page).select(F.col("h").alias("top"))
+        below = low.join(dense, low["h"].bitwiseAND((1 << middle) - 1) == dense["top"], "left_semi")
+        sums = sums.unionByName(nodes(below, middle + 1, MAX_DEPTH))
+    sums = materialize(sums, "nodes")
+    full = sums.where(overfull).select("depth", "prefix")
     children = full.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix"), F.col("prefix") + F.expr("shiftleft(1L, depth)"))).alias("prefix"))
     root = table.sparkSession.createDataFrame([(0, 0)], "depth int, prefix bigint")
     leaves = children.unionByName(root).join(full, ["depth", "prefix"], "left_anti")
     return leaves.join(sums, ["depth", "prefix"], "left").select("depth", "prefix", F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
 
 
+def file_bytes(used: Column, page_bytes: int) -> Column:
+    """Size of a bucket's file: the page, doubled until header and records fit."""
+    page = max(page_bytes, LEAST_PAGE)
+    need = used + HEADER_BYTES
+    # Doublings are counted in whole numbers; a logarithm may be off by rounding.
+    return F.aggregate(F.sequence(F.lit(0), F.lit(48)), F.lit(page).cast("long"), lambda size, _: F.when(size < need, size * 2).otherwise(size))
+
+
 def layout_summary(buckets: DataFrame) -> DataFrame:
     """(global_depth, buckets) of a layout."""
     return buckets.agg(F.max("depth").cast("int").alias("global_depth"), F.count("*").alias("buckets"))

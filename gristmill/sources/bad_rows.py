@@ -51,7 +51,8 @@ def parse(line: str) -> list[str]:
 
 
 def _int(text: str) -> int | None:
-    value = int(text) if len(text) < 20 else _BIGINT
+    digits = text.lstrip("0") or "0"
+    value = int(digits) if len(digits) < 20 else _BIGINT
     return value if value < _BIGINT else None
 
 
@@ -122,10 +123,20 @@ def load_record(line: str | None, fields: Fields) -> tuple[str | None, list]:
         return "value", nothing
 
 
-def load_records(df: DataFrame, fields: Fields, line: str = "line", keep: list[str] | None = None, want: str = "all") -> DataFrame:
+def too_large(line: str, values: list, fields: Fields) -> str | None:
+    """The names of a loaded record's fields in which a number exceeds BIGINT, separated by commas, or None."""
+    lost = [k for k, v in enumerate(values) if isinstance(v, list) and None in v or v is None and isinstance(fields[k][1], T.LongType)]
+    if lost:
+        got = parse(line)
+        lost = [k for k in lost if got[k].strip(" ")]
+    return ",".join(fields[k][0] for k in lost) or None
+
+
+def load_records(df: DataFrame, fields: Fields, line: str = "line", keep: list[str] | None = None, want: str = "all", beyond: str | None = None) -> DataFrame:
     """The columns ``keep``, the reason why a record failed or null, and its typed fields (null if it failed).
 
-    ``want`` is 'all', 'loaded' (without reason) or 'failed' (without fields).  Reasons: 'quoting',
+    ``want`` is 'all', 'loaded' (without reason) or 'failed' (without fields).  With ``beyond``, a column of that
+    name holds the names of the fields in which a number exceeds BIGINT, in order, or null.  Reasons: 'quoting',
     'columns' (not as many as ``fields``), 'value'; the first that holds.  A narrow map over Arrow
     batches: each record is parsed once where it is read.  A null line has no columns; an empty one has
     one.  Numbers beyond BIGINT are valid and load as null.  Repeated records are loaded each; fields of
@@ -133,10 +144,11 @@ def load_records(df: DataFrame, fields: Fields, line: str = "line", keep: list[s
     """
     keep = ["line_no"] if keep is None else list(keep)
     names = [] if want == "failed" else [n for n, _, _ in fields]
-    out = [*keep, *([] if want == "loaded" else ["reason"]), *names]
+    extra = [beyond] if beyond and names else []
+    out = [*keep, *([] if want == "loaded" else ["reason"]), *names, *extra]
     if len(set(map(str.lower, out))) < len(out):
         raise ValueError("a column to be kept is named like a field")
-    schema = T.StructType([*(df.schema[c] for c in keep), *([] if want == "loaded" else [T.StructField("reason", T.StringType())]), *(T.StructField(n, t) for n, t, _ in fields if n in names)])
+    schema = T.StructType([*(df.schema[c] for c in keep), *([] if want == "loaded" else [T.StructField("reason", T.StringType())]), *(T.StructField(n, t) for n, t, _ in fields if n in names), *(T.StructField(n, T.StringType()) for n in extra)])
     kinds = {T.LongType: pa.int64(), T.StringType: pa.string(), T.ArrayType: pa.list_(pa.int64())}
     types = [kinds[type(t)] for _, t, _ in fields]
 
@@ -150,6 +162,8 @@ def load_records(df: DataFrame, fields: Fields, line: str = "line", keep: list[s
                 cols.append(pa.array([r for r, _ in done], pa.string()))
             if names:
                 cols += [pa.array([v[k] for _, v in done], types[k]) for k in range(len(fields))]
+            if extra:
+                cols.append(pa.array([too_large(line, v, fields) if r is None else None for line, (r, v) in zip(batch.column(len(keep)).to_pylist(), done)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=out).filter(mask)
 
     return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{line}`").cast("string").alias("__line")).mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""A durable keyed table: snapshots in versioned Parquet folders."""
+"""A durable keyed table: a sorted base, deltas of later changes, and numbered pointers that name what is current."""
 
 from __future__ import annotations
 
@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 from gristmill.operators import kv
 
 SCHEMA = "key string, value string, seq bigint"
+CHANGES = "key string, value string, seq bigint, op string"
+#: Deltas that a reader merges at most; one more makes the next change fold them.
+MAX_DELTAS = 8
+#: Share of the base's records from which deltas are folded into the base, not only into one another.
+FOLD_SHARE = 0.25
+
+
+class ConcurrentChange(RuntimeError):
+    """Another writer has made the next version first; nothing was changed."""
 
 
 class KvStore:
     """Opens the table at ``path``, or creates it empty.
 
-    Each change writes a new version, sorted by key within hash partitions so that a look-up's filter
-    skips most row groups, and then names it the current one; readers of an older version aren't
-    disturbed, and a write that fails leaves the table as it was.  The page size is kept with the table
-    and only used by its layout.
+    A change writes one delta with the latest put or delete of each key it touches, so its cost is that of the
+    change, not of the table; deltas are folded from time to time.  Base and deltas are cut into ranges of keys
+    and sorted, with Parquet statistics and Bloom filters of the key: a look-up's filter reaches the files and
+    skips all but the range that may hold the key.
+
+    A version is a file ``meta-<number>.json`` that is written under another name and then renamed; the highest
+    number counts.  A change that fails before the renaming leaves the table as it was, whatever it has
+    written; two writers of the same number can't both succeed.  Readers of an older version aren't
+    disturbed until ``compact``.  The page size is kept with the table and only used by its layout.
     """
 
     def __init__(self, spark: SparkSession, path: str, page_bytes: int | None = None, partitions: int | None = None):
@@ -27,50 +41,94 @@ class KvStore:
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        meta = self._read_meta()
+        meta = self.meta()
         if meta is None:
-            meta = {"version": None, "page_bytes": max(page_bytes or 4096, kv.LEAST_PAGE), "seq": 0}
             self._fs.mkdirs(self._Path(self.path))
-            self._write_meta(meta)
+            meta = {"number": 0, "base": None, "base_rows": 0, "deltas": [], "page_bytes": max(page_bytes or 4096, kv.LEAST_PAGE), "seq": 0}
+            self._publish(meta)
         self.page_bytes = meta["page_bytes"]
 
-    def _read_meta(self) -> dict | None:
-        at = self._Path(f"{self.path}/current.json")
-        if not self._fs.exists(at):
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._Path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._Path(self.path))]
+        return sorted(int(n[5:-5]) for n in names if n.startswith("meta-") and n.endswith(".json"))
+
+    def meta(self) -> dict | None:
+        """What the current version consists of; None if there is no table."""
+        numbers = self._numbers()
+        if not numbers:
             return None
-        got = self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()
-        return json.loads(got[0])
+        return json.loads(self.spark.read.text(f"{self.path}/meta-{numbers[-1]:020d}.json", wholetext=True).first()[0])
 
-    def _write_meta(self, meta: dict) -> None:
+    def _publish(self, meta: dict) -> None:
         new = self._Path(f"{self.path}/_new-{uuid.uuid4().hex}.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        at = self._Path(f"{self.path}/current.json")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(new, at)
+        at = self._Path(f"{self.path}/meta-{meta['number']:020d}.json")
+        # Renaming onto an existing name fails on a distributed file system; a local one would overwrite it.
+        if self._fs.exists(at) or not self._fs.rename(new, at):
+            self._fs.delete(new, False)
+            raise ConcurrentChange(f"version {meta['number']} is there already")
 
-    def table(self) -> DataFrame:
-        """(key, value, seq) of the current version."""
-        version = self._read_meta()["version"]
-        if version is None:
+    def _changes(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(CHANGES).parquet(*(f"{self.path}/{n}" for n in names))
+
+    def _base(self, meta: dict) -> DataFrame:
+        if meta["base"] is None:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{version}")
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{meta['base']}")
+
+    @staticmethod
+    def _latest(changes: DataFrame) -> DataFrame:
+        last = changes.groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("x"))
+        return last.select("key", "x.value", "x.seq", "x.op")
 
-    def _write(self, table: DataFrame, seq: int) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        parts = table.repartition(self.partitions, "key") if self.partitions else table.repartition("key")
-        parts.sortWithinPartitions("key").write.parquet(f"{self.path}/{version}")
-        self._write_meta({"version": version, "page_bytes": self.page_bytes, "seq": seq})
+    def table(self) -> DataFrame:
+        """(key, value, seq) of the current version; a filter on key reaches the files of base and deltas."""
+        meta = self.meta()
+        if not meta["deltas"]:
+            return self._base(meta)
+        changes = self._changes(meta["deltas"])
+        if meta["base"] is not None:
+            changes = self._base(meta).withColumn("op", F.lit("put")).unionByName(changes)
+        return self._latest(changes).where("op = 'put'").select("key", "value", "seq")
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        parts = rows.repartitionByRange(self.partitions, "key") if self.partitions else rows.repartitionByRange("key")
+        parts.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{name}")
+        return name
 
     def apply(self, log: DataFrame) -> None:
         """Applies a log of puts and deletes after all earlier ones; its seq orders it within itself."""
-        base = self._read_meta()["seq"]
-        ops = kv.operations(log).withColumn("seq", F.col("seq") + base)
-        top = ops.agg(F.max("seq")).first()[0]
-        if top is not None:
-            self._write(kv.merge(self.table(), ops), int(top) + 1)
+        meta = self.meta()
+        if len(meta["deltas"]) >= MAX_DELTAS:
+            meta = self._fold(meta, FOLD_SHARE)
+        ops = kv.operations(log).where("op <> 'get'")
+        low, top = ops.agg(F.min("seq"), F.max("seq")).first()
+        if top is None:
+            return
+        # The batch's numbers are moved behind all earlier ones, negative ones too.
+        shift = meta["seq"] - min(int(low), 0)
+        delta = self._write(self._latest(ops.withColumn("seq", F.col("seq") + shift)).select("key", "value", "seq", "op"), "delta")
+        self._publish(meta | {"number": meta["number"] + 1, "deltas": [*meta["deltas"], delta], "seq": int(top) + shift + 1})
+
+    def _fold(self, meta: dict, share: float) -> dict:
+        """Publishes a version of the same content: deltas as one delta, or, if they are many beside the base, all as a new base."""
+        if not meta["deltas"]:
+            return meta
+        changes = self._changes(meta["deltas"])
+        if changes.count() >= share * meta["base_rows"]:
+            base = self._write(self.table(), "base")
+            rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{base}").count()
+            after = meta | {"base": base, "base_rows": rows, "deltas": []}
+        else:
+            after = meta | {"deltas": [self._write(self._latest(changes).select("key", "value", "seq", "op"), "delta")]}
+        after["number"] = meta["number"] + 1
+        self._publish(after)
+        return after
 
     def put_all(self, rows: DataFrame, key: str, value: str, seq: str) -> None:
         """Puts all rows in the order of ``seq``; of equal keys the last wins."""
@@ -95,13 +153,24 @@ class KvStore:
     def layout(self) -> DataFrame:
         return kv.layout(self.table(), self.page_bytes)
 
+    def records(self) -> DataFrame:
+        """(kind, op, records): what base and deltas hold, records that later ones replace and tombstones too."""
+        meta = self.meta()
+        rows = self._base(meta).select(F.lit("base").alias("kind"), F.lit("put").alias("op"))
+        if meta["deltas"]:
+            rows = rows.unionByName(self._changes(meta["deltas"]).select(F.lit("delta").alias("kind"), "op"))
+        return rows.groupBy("kind", "op").agg(F.count("*").alias("records"))
+
     def compact(self) -> None:
-        """Deletes all versions but the current one."""
-        version = self._read_meta()["version"]
+        """Folds all deltas into the base, which drops replaced records and tombstones, and deletes what no version needs then."""
+        meta = self._fold(self.meta(), 0)
+        keep = {meta["base"], *meta["deltas"], f"meta-{meta['number']:020d}.json"}
         for status in self._fs.listStatus(self._Path(self.path)):
-            name = status.getPath().getName()
-            if name.startswith("v-") and name != version:
+            if status.getPath().getName() not in keep:
                 self._fs.delete(status.getPath(), True)
 
+    def exists(self) -> bool:
+        return bool(self._numbers())
+
     def destroy(self) -> None:
         self._fs.delete(self._Path(self.path), True)
