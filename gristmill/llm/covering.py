@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.arrow import parts
+from gristmill.functions.arrow import parts, row_chunks, text_bytes
 from gristmill.functions.text import fold
+from gristmill.operators.collide import colliding_pairs
 from gristmill.operators.components import components
-from gristmill.operators.neardup import parity_words
+from gristmill.operators.neardup import Classes, exact_pairs, parity_words
 from gristmill.session import materialize
 
 SHINGLE = 3
@@ -32,10 +33,10 @@ RADIUS = 2
 BLOCKS = 12
 PLACE_BITS = 9
 #: 64-bit words of a set's parity bitmap, a power of two.
-CHECK_WORDS = 4
+CHECK_WORDS = 8
 SEED = 20260101
-#: Bytes of text sketched at once in a task, and texts whose sets a task keeps for comparing.
-SKETCH_BYTES, KEPT_SETS = 1 << 18, 2_000
+#: Bytes of text sketched at once in a task; pairs, and bytes of their texts, compared at once.
+SKETCH_BYTES, VERIFY_PAIRS, VERIFY_BYTES = 1 << 18, 512, 1 << 18
 
 
 def masks(radius: int = RADIUS) -> np.ndarray:
@@ -96,15 +97,23 @@ def sketch(texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> tupl
     return some, keys.view(np.int64), checks
 
 
-def may_reach(a: list[Column], b: list[Column], similarity: float) -> Column:
-    """False only for pairs of check columns whose sets can't have the similarity.
+def may_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """False only for rows of check columns whose sets can't have the similarity.
 
     The smaller set has at least that share of the larger one's members, and the sets differ in at least as
     many members as their bitmaps in bits.
     """
-    both = a[0] + b[0]
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.lit(0))
-    return (F.least(a[0], b[0]) >= F.greatest(a[0], b[0]) * similarity - 1e-9) & (differ * (1 + similarity) <= both * (1 - similarity) + 1e-9)
+    both = a[:, 0] + b[:, 0]
+    keep = np.flatnonzero(np.minimum(a[:, 0], b[:, 0]) >= np.maximum(a[:, 0], b[:, 0]) * similarity - 1e-9)
+    most = both * (1 - similarity) / (1 + similarity) + 1e-9
+    differ = np.zeros(len(keep), np.int64)
+    for k in range(1, a.shape[1]):
+        differ += np.bitwise_count((a[keep, k] ^ b[keep, k]).view(np.uint64))  # of a signed number it would count the absolute value
+        near = differ <= most[keep]
+        keep, differ = keep[near], differ[near]
+    out = np.zeros(len(a), bool)
+    out[keep] = True
+    return out
 
 
 def distinct_texts(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
@@ -130,50 +139,89 @@ def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, bl
                 some, keys, checks = sketch(part.column(1).to_pylist(), radius, blocks)
                 ids = part.column(0).filter(pa.array(some))
                 offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), *(pa.array(np.ascontiguousarray(checks[:, k])) for k in range(len(names)))], names=["rep", "keys", *names])
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), *(pa.array(np.ascontiguousarray(checks[:, k])) for k in range(len(names)))], names=["id", "keys", *names])
 
-    schema = "rep bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in names)
-    entries = reps.select(F.col("rep").cast("long"), "text").mapInArrow(run, schema).select("rep", *names, F.explode("keys").alias("key"))
-    a, b = entries.alias("a"), entries.alias("b")
-    near = may_reach([F.col(f"a.{c}") for c in names], [F.col(f"b.{c}") for c in names], similarity)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    schema = "id bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in names)
+    entries = reps.select(F.col("rep").cast("long"), "text").mapInArrow(run, schema).select("id", *names, F.explode("keys").alias("key"))
+    return colliding_pairs(entries, names, lambda a, b: may_reach(a, b, similarity))
+
+
+def common_counts(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of texts: distinct substrings of the first, of the second, and of both.
+
+    The substrings of all texts are numbered; a text is a row of bits, one for each number.
+    """
+    index: dict[str, int] = {}
+    rows = np.array([index.setdefault(t, len(index)) for t in (*a, *b)], np.int64)
+    codes, counts = shingle_codes(list(index))
+    known, number = np.unique(codes, return_inverse=True)
+    held = np.zeros((len(index), max(64, -(-len(known) // 64) * 64)), np.uint8)
+    held[np.repeat(np.arange(len(index)), counts), number] = 1
+    bits = np.packbits(held, axis=1).view(np.uint64)
+    sizes = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    x, y = rows[: len(a)], rows[len(a) :]
+    return sizes[x], sizes[y], np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
 
 
 def verify_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose sets of substrings have at least the given Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset] = {}
         for batch in batches:
-            a, b, ta, tb = (batch.column(k) for k in range(4))
-            score = np.zeros(batch.num_rows)
-            for k, (x, y) in enumerate(zip(ta.to_pylist(), tb.to_pylist())):
-                got = []
-                for t in (x, y):
-                    s = sets.get(t)
-                    if s is None:
-                        if len(sets) > KEPT_SETS:
-                            sets.clear()
-                        s = sets[t] = frozenset(t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1))
-                    got.append(s)
-                both = len(got[0] & got[1])
-                score[k] = both / max(1, len(got[0]) + len(got[1]) - both)
-            keep = pa.array(score >= similarity)
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(score).filter(keep)], names=["a", "b", "similarity"])
+            for lo, hi in _bounded(batch):
+                a, b, ta, tb = (batch.column(k).slice(lo, hi - lo) for k in range(4))
+                na, nb, both = common_counts(ta.to_pylist(), tb.to_pylist())
+                score = both / np.maximum(1, na + nb - both)
+                keep = pa.array(score >= similarity)
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(score).filter(keep)], names=["a", "b", "similarity"])
 
     left = reps.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = reps.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "claim", similarity: float = 0.6, radius: int = RADIUS, blocks: int = BLOCKS, folded: bool = False) -> tuple[DataFrame, DataFrame]:
+def _bounded(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``VERIFY_PAIRS`` pairs and about ``VERIFY_BYTES`` bytes of texts, one pair at least."""
+    size = np.diff(text_bytes(batch.column(2))[1]) + np.diff(text_bytes(batch.column(3))[1])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for lo, hi in row_chunks(ends, VERIFY_BYTES):
+        for at in range(lo, hi, VERIFY_PAIRS):
+            yield at, min(hi, at + VERIFY_PAIRS)
+
+
+def exact_links(reps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) of all texts with at least the similarity, without odds: the exact pairs by rare substrings.
+
+    Its cost grows faster than that of the tables; it is there for results that must not lose one link in thousands.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1, SKETCH_BYTES):
+                codes, counts = shingle_codes(part.column(1).to_pylist())
+                row = np.repeat(np.arange(part.num_rows), counts)
+                order = np.lexsort((codes, row))
+                codes, row = codes[order].view(np.int64), row[order]
+                new = np.ones(len(codes), bool)
+                new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[new]))], names=["id", "shingles"])
+
+    sets = reps.select(F.col("rep").cast("long").alias("id"), "text").mapInArrow(run, "id bigint, shingles array<bigint>").where("size(shingles) > 0")
+    return exact_pairs(Classes(members=None, sets=materialize(sets, "sets")), similarity)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "claim", similarity: float = 0.6, radius: int = RADIUS, blocks: int = BLOCKS, folded: bool = False, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between distinct folded texts, a < b, and the members (id, rep) of each text.
 
     A text stands for all ids that have it, by the smallest.  Texts without letters and digits, null
     texts and null ids take no part; texts shorter than three characters have no substring and link to
     none; an id may come more than once and with several texts.  An empty table gives empty tables.
+    ``exact`` takes exact_links in place of the tables: no odds, at a higher cost.
     """
     reps, members = distinct_texts(df, id_col, F.col(f"`{text}`") if folded else fold(F.col(f"`{text}`")))
+    if exact:
+        return exact_links(reps, similarity), members
     pairs = candidate_pairs(reps, similarity, radius, blocks)
     return verify_pairs(pairs, reps, similarity), members
 

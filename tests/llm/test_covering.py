@@ -100,3 +100,34 @@ def test_sketch_does_not_depend_on_the_batch():
     for k, t in enumerate(["abcdefgh", "abcdefgx", "longer text with more in it"]):
         _, one, c = cv.sketch([t])
         assert np.array_equal(one[0], keys[k]) and np.array_equal(c[0], checks[k])
+
+
+def test_parts_of_short_texts_only():
+    for texts in (["ab"], ["", "a"], []):
+        some, keys, checks = cv.sketch(texts)
+        assert not some.any() and keys.shape == (0, 84) and len(checks) == 0
+
+
+def test_common_counts_by_sets():
+    texts = texts_with_edits(9, 6) + ["ab", "", "x" * 5000]
+    a, b = texts, texts[::-1]
+    sets = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    want = [(len(sets(x)), len(sets(y)), len(sets(x) & sets(y))) for x, y in zip(a, b)]
+    assert list(zip(*(v.tolist() for v in cv.common_counts(a, b)))) == want
+
+
+def test_exact_links_lose_none(spark):
+    texts = texts_with_edits(4, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {(r.id_a, r.id_b) for r in cv.all_pairs(*cv.near_duplicates(df, exact=True)).collect()}
+    folded = ["".join(c for c in t.lower() if c.isalnum()) for t in texts]
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if folded[i] == folded[j] or jaccard(folded[i], folded[j]) >= 0.6}
+
+
+def test_check_columns_rule_out_no_similar_pair():
+    texts = ["".join(c for c in t.lower() if c.isalnum()) for t in texts_with_edits(2, 40)]
+    _, _, checks = cv.sketch(texts)
+    i, j = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    may = cv.may_reach(checks[i], checks[j], 0.6)
+    similar = np.array([jaccard(texts[a], texts[b]) >= 0.6 for a, b in zip(i, j)])
+    assert may[similar].all() and may.sum() < 3 * similar.sum()
