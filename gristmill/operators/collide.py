@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrow import text_bytes
 from gristmill.session import materialize
 
 #: Entries of one key that are compared with one another in one step; a longer group is cut into chunks.
@@ -61,33 +62,42 @@ def _across(ids: np.ndarray, load: np.ndarray, one: np.ndarray, two: np.ndarray,
         yield _admitted(ids, load, np.repeat(part, len(two)), np.tile(two, len(part)), admit)
 
 
-def colliding_pairs(entries: DataFrame, payload: list[str] | None = None, admit: Admit | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids among the entries (key, id, payload ...) that share a key and are admitted.
+def _loads(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and so many further numbers, of a column of entries' loads."""
+    data, _ = text_bytes(column)
+    table = data.view(np.int64).reshape(len(column), 1 + width) if len(data) else np.zeros((len(column), 1 + width), np.int64)
+    return table[:, 0], table[:, 1:]
 
-    key and id are BIGINT, and so are the columns of payload, by which ``admit`` may rule pairs out.  The entries are
+
+def binary_rows(table: np.ndarray) -> pa.Array:
+    """Each row of a table of 64-bit numbers as one binary value, as colliding_pairs takes them."""
+    n, width = table.shape
+    ends = (np.arange(n + 1) * (8 * width)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(table).tobytes())])
+
+
+def colliding_pairs(entries: DataFrame, width: int = 0, admit: Admit | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids among the entries (key, load) that share a key and are admitted.
+
+    key is BIGINT; ``load`` holds the id and ``width`` further 64-bit numbers, as binary_rows makes it, by which
+    ``admit`` may rule pairs out; one column, as each column of each entry costs on its way to Python.  The entries are
     shuffled and sorted by key once; a task holds one chunk of a key's entries at most.  A group of more
     than ``chunk`` entries is cut into chunks; each is paired with itself where it is read, and any two
     chunks meet in a task of their own, so that no key's pairs depend on one task.  No group is left out or cut
-    short.  Entries without key or id take no part; an empty table gives an empty table.
+    short.  Entries without key or load take no part; an empty table gives an empty table.
     """
-    payload = payload or []
-    width = len(payload)
-    rows = entries.select(F.col("key").cast("long").alias("key"), F.col("id").cast("long").alias("id"), *payload).where("key is not null and id is not null")
-    names = ["a", "b", "key", "chunk", *payload]
-    schema = "a bigint, b bigint, key bigint, chunk bigint" + "".join(f", {c} bigint" for c in payload)
-
-    def table(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns]
-        return cols[0], cols[1], np.column_stack(cols[2:]) if width else np.zeros((batch.num_rows, 0), np.int64)
+    rows = entries.select(F.col("key").cast("long").alias("key"), "load").where("key is not null and load is not null")
+    names = ["a", "b", "key", "chunk", "load"]
+    schema = "a bigint, b bigint, key bigint, chunk bigint, load binary"
 
     def out_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *([none] * (2 + width))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, pa.nulls(len(a), pa.binary())], names=names)
 
     def out_chunk(key: int, which: int, ids: np.ndarray, load: np.ndarray) -> pa.RecordBatch:
         n = len(ids)
         cols = [pa.array(np.full(n, v, np.int64)) for v in (key, which)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), *cols, *(pa.array(np.ascontiguousarray(load[:, k])) for k in range(width))], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *cols, binary_rows(np.column_stack([ids, load]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.int64))
@@ -95,7 +105,7 @@ def colliding_pairs(entries: DataFrame, payload: list[str] | None = None, admit:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, ids, load = (np.concatenate(x) for x in zip(held, table(batch)))
+            keys, ids, load = (np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), *_loads(batch.column(1), width))))
             # The last run may go on in the next batch.
             last = int(np.searchsorted(keys, keys[-1], "left"))
             if last and which:
@@ -119,11 +129,11 @@ def colliding_pairs(entries: DataFrame, payload: list[str] | None = None, admit:
                 yield out_chunk(int(keys[0]), which, ids, load)
 
     met = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema), "met")
-    chunks = met.where("b is null").select("key", "chunk", F.col("a").alias("id"), *payload)
+    chunks = met.where("b is null").select("key", "chunk", "load")
     # Each chunk once for every other chunk of its key: as many copies as the pairs of chunks need.
     total = chunks.groupBy("key").agg(F.max("chunk").alias("top"))
     other = chunks.join(total, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).where("other <> chunk")
-    meet = other.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "id", (F.col("chunk") > F.col("other")).cast("long").alias("second"), *payload)
+    meet = other.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), (F.col("chunk") > F.col("other")).cast("long").alias("second"), "load")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -138,8 +148,8 @@ def colliding_pairs(entries: DataFrame, payload: list[str] | None = None, admit:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns]
-            keys, ids, load = cols[0], cols[1], np.column_stack(cols[2:])
+            keys, (ids, load) = batch.column(0).to_numpy(), _loads(batch.column(2), width)
+            load = np.column_stack([batch.column(1).to_numpy(), load])
             if held:
                 keys, ids, load = (np.concatenate(x) for x in zip(held, (keys, ids, load)))
             last = int(np.searchsorted(keys, keys[-1], "left"))

@@ -2,7 +2,10 @@ import itertools, random
 import numpy as np, pytest
 from gristmill.operators.collide import colliding_pairs
 
-SCHEMA = "key bigint, id bigint, p bigint"
+
+def entries(spark, rows, payload=True):
+    load = lambda i, p: None if i is None else np.array([i, p] if payload else [i], np.int64).tobytes()
+    return spark.createDataFrame([(k, load(i, p)) for k, i, p in rows], "key bigint, load binary")
 
 
 def brute(rows, admit=None):
@@ -19,10 +22,9 @@ def test_against_brute_force(spark, chunk):
     # One key has a third of all entries; ids repeat under several keys.
     rows = [(rng.choice([5, rng.randrange(-40, 40), rng.randrange(1 << 60)]), rng.randrange(150), rng.randrange(10)) for _ in range(300)]
     rows += [(None, 1, 1), (5, None, 1), (5, 7, 0), (5, 7, 0)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(r) for r in colliding_pairs(df, ["p"], lambda a, b: np.abs(a[:, 0] - b[:, 0]) <= 2, chunk).collect()]
+    got = [tuple(r) for r in colliding_pairs(entries(spark, rows), 1, lambda a, b: np.abs(a[:, 0] - b[:, 0]) <= 2, chunk).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, lambda a, b: abs(a - b) <= 2)
-    assert {tuple(r) for r in colliding_pairs(df.select("key", "id"), chunk=chunk).collect()} == brute(rows)
+    assert {tuple(r) for r in colliding_pairs(entries(spark, rows, False), chunk=chunk).collect()} == brute(rows)
 
 
 def test_chunks_across_batches_and_empty(spark):
@@ -30,7 +32,7 @@ def test_chunks_across_batches_and_empty(spark):
     try:
         rows = [(1, i, 0) for i in range(31)] + [(2, i, 0) for i in range(3)] + [(3, 99, 0)]
         for chunk in (4, 5, 10, 30, 31):
-            assert {tuple(r) for r in colliding_pairs(spark.createDataFrame(rows, SCHEMA), chunk=chunk).collect()} == brute(rows)
+            assert {tuple(r) for r in colliding_pairs(entries(spark, rows, False), chunk=chunk).collect()} == brute(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert colliding_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert colliding_pairs(entries(spark, [], False)).count() == 0
