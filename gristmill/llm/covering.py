@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.arrow import parts, row_chunks, text_bytes
 from gristmill.functions.text import fold
-from gristmill.operators.collide import colliding_pairs
+from gristmill.operators.collide import binary_rows, colliding_pairs
 from gristmill.operators.components import components
 from gristmill.operators.neardup import Classes, exact_pairs, parity_words
 from gristmill.session import materialize
@@ -131,19 +131,17 @@ def distinct_texts(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame,
 
 def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Distinct pairs (a, b), a < b, that collide in some table and may have the similarity by their check columns."""
-    names = [f"c{k}" for k in range(1 + CHECK_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 1, SKETCH_BYTES):
                 some, keys, checks = sketch(part.column(1).to_pylist(), radius, blocks)
-                ids = part.column(0).filter(pa.array(some))
+                ids = part.column(0).to_numpy()[some]
                 offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), *(pa.array(np.ascontiguousarray(checks[:, k])) for k in range(len(names)))], names=["id", "keys", *names])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), binary_rows(np.column_stack([ids, checks]))], names=["keys", "load"])
 
-    schema = "id bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in names)
-    entries = reps.select(F.col("rep").cast("long"), "text").mapInArrow(run, schema).select("id", *names, F.explode("keys").alias("key"))
-    return colliding_pairs(entries, names, lambda a, b: may_reach(a, b, similarity))
+    entries = reps.select(F.col("rep").cast("long"), "text").mapInArrow(run, "keys array<bigint>, load binary").select("load", F.explode("keys").alias("key"))
+    return colliding_pairs(entries, 1 + CHECK_WORDS, lambda a, b: may_reach(a, b, similarity))
 
 
 def common_counts(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
