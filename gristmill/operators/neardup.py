@@ -17,11 +17,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrow import parts
 from gristmill.functions.hashing import JavaRandom, units
+from gristmill.operators.collide import binary_rows, colliding_pairs
 from gristmill.session import materialize
 
 PRIME = (1 << 31) - 1
@@ -129,38 +130,114 @@ def signatures(sets: DataFrame, params: Params) -> DataFrame:
     return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, sig array<bigint>")
 
 
+def set_digests(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each set: sums of its members mixed in two ways; (0, 0) for the empty set."""
+    out = np.zeros((len(counts), 2), np.uint64)
+    some = counts > 0
+    if some.any():
+        starts = (np.cumsum(counts) - counts)[some]
+        for k, (odd, add) in enumerate(((0x9E3779B97F4A7C15, 0x632BE59BD9B4E019), (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))):
+            out[some, k] = np.add.reduceat(mixed(hashes.view(np.uint64) * np.uint64(odd) + np.uint64(add)), starts)
+    return out.view(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with every bit spread over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketches(df: DataFrame, id_col: str, text: str, params: Params = Params(), with_sets: bool = False, with_signatures: bool = True) -> DataFrame:
+    """(id, d1, d2, sig) of each text with an id, in one pass: the digest of its shingle set and its signature.
+
+    ``with_sets`` adds the set itself as ``shingles``, which is many times the text's size.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    functions = params.functions if with_signatures else []
+    names = ["id", "d1", "d2", *(["sig"] if with_signatures else []), *(["shingles"] if with_sets else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1, BATCH_BYTES):
+                h, counts = shingle_hashes(part.column(1).to_pylist(), params.k)
+                digest = set_digests(h, counts)
+                cols = [part.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
+                if with_signatures:
+                    sig = min_hashes(h, counts, functions).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * np.int32(sig.shape[1])), pa.array(sig.ravel())))
+                if with_sets:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(h)))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = f"id {kind}, d1 bigint, d2 bigint" + (", sig array<int>" if with_signatures else "") + (", shingles array<bigint>" if with_sets else "")
+    return df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, schema)
+
+
 @dataclass
 class Classes:
-    """Classes of equal shingle sets: (id, shingles) of each class, its smallest id first, and (id, class_id) of all."""
+    """Classes of equal shingle sets, each by its smallest id: (id, shingles) and (id, sig) of each, and (id, class_id) of all.
+
+    ``sets`` is computed from the texts when it is read; ``sigs`` is there if it was made with the classes,
+    for ``params``.
+    """
+
+    sets: DataFrame | None
+    members: DataFrame | None
+    sigs: DataFrame | None = None
+    params: Params | None = None
+
+
+def group_sketches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class_id) and heads (id, d1, d2, sig) of a table of sketches.
+
+    Ids are reduced to one for each digest before they are joined with it; a digest with very many ids
+    is split by the join's skew handling.
+    """
+    heads = found.groupBy("d1", "d2").agg(F.min("id").alias("class_id"))
+    own = F.when(F.col("id") == F.col("class_id"), F.col("sig")) if "sig" in found.columns else F.lit(None).cast("array<int>")
+    both = materialize(found.join(heads, ["d1", "d2"]).select("id", "class_id", "d1", "d2", own.alias("sig")), "classes")
+    return both.select("id", "class_id").distinct(), both.where("id = class_id").dropDuplicates(["id", "d1", "d2"]).select("id", "d1", "d2", "sig")
 
-    sets: DataFrame
-    members: DataFrame
 
+def classes(df: DataFrame, id_col: str, text: str, k: int = 3, params: Params | None = None) -> Classes:
+    """Groups ids by the 128-bit digest of their shingle set; with ``params`` (whose k counts), signatures are made on the way.
 
-def classes(df: DataFrame, id_col: str, text: str, k: int = 3) -> Classes:
-    """Groups ids by shingle set.  Null and short texts all have the empty set and are one class.
+    Null and short texts all have the empty set and are one class.  A null id takes no part; an id with
+    several texts is in several classes.
+    """
+    p = params or Params(k=k)
+    members, heads = group_sketches(materialize(sketches(df, id_col, text, p, with_signatures=params is not None), "sketches"))
+    sets = sketches(df, id_col, text, p, with_sets=True, with_signatures=False).join(heads.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"]).select("id", "shingles")
+    return Classes(sets, members, heads.select("id", "sig") if params else None, params)
+
+
+def band_keys(sigs: DataFrame, params: Params, load: bool = False) -> DataFrame:
+    """(id, key), or (load, key) as colliding_pairs takes it: a 64-bit hash of each band's number and rows.
 
-    A null id takes no part; an id with several texts is in several classes.
+    Two different bands of values have one key with a chance of 2**-64.
     """
-    sets = materialize(shingle_sets(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text, k).withColumn("h", F.md5(F.to_json("shingles").cast("binary"))), "shingles")
-    heads = sets.groupBy("h").agg(F.min("id").alias("class_id"))
-    members = materialize(sets.select("id", "h").distinct().join(heads, "h").select("id", "class_id"), "members")
-    own = sets.join(heads, (sets["h"] == heads["h"]) & (sets["id"] == heads["class_id"])).select("id", "shingles").dropDuplicates(["id", "shingles"])
-    return Classes(materialize(own, "classes"), members)
+    kind = sigs.schema["id"].dataType.simpleString()
+    name, kind = ("load", "binary") if load else ("id", kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, params.bands, params.rows).view(np.uint64)
+            h = np.broadcast_to(mixed(np.arange(params.bands, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)), sig.shape[:2])
+            for r in range(params.rows):
+                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            own = binary_rows(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]) if load else batch.column(0)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(params.bands))
+            yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h).view(np.int64).ravel()))], names=[name, "keys"])
 
-def band_entries(sigs: DataFrame, params: Params) -> DataFrame:
-    """(band, key, id, sig): the rows of each band as its key; the values themselves, so bands never collide by chance."""
-    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.slice("sig", b * params.rows + 1, params.rows).alias("key")) for b in range(params.bands)))
-    return sigs.select("id", F.explode(bands).alias("x")).select("id", "x.band", "x.key")
+    return sigs.select("id", "sig").mapInArrow(run, f"{name} {kind}, keys array<bigint>").select(name, F.explode("keys").alias("key"))
 
 
 def candidates(sigs: DataFrame, params: Params) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a band."""
-    entries = band_entries(sigs, params).select("id", F.xxhash64("band", "key").alias("h"), "band", "key")
-    a, b = entries.alias("a"), entries.alias("b")
-    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    return a.join(b, same & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    """Distinct pairs (a, b), a < b, of BIGINT ids that share a band."""
+    return colliding_pairs(band_keys(sigs, params, load=True))
 
 
 def estimated(a: Column, b: Column) -> Column:
@@ -181,12 +258,12 @@ def _scored(pairs: DataFrame, by_id: DataFrame, column: str, score, threshold: f
 
 def lsh_pairs(groups: Classes, params: Params = Params(), verify: str = "estimated") -> DataFrame:
     """(a, b, similarity) of candidate classes, by the signatures' estimate or ``verify='exact'``."""
-    sigs = materialize(signatures(groups.sets, params), "signatures")
+    if verify not in ("estimated", "exact"):
+        raise ValueError("verify is 'estimated' or 'exact'")
+    sigs = groups.sigs if groups.params == params else materialize(signatures(groups.sets, params), "signatures")
     pairs = candidates(sigs, params)
     if verify == "estimated":
         return _scored(pairs, sigs, "sig", estimated, params.threshold)
-    if verify != "exact":
-        raise ValueError("verify is 'estimated' or 'exact'")
     return _scored(pairs, groups.sets, "shingles", exact, params.threshold)
 
 
@@ -224,6 +301,7 @@ def exact_pairs(groups: Classes, threshold: float = 0.5) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
+    groups = Classes(materialize(groups.sets, "sets"), groups.members)
     long = groups.sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = long.groupBy("s").agg(F.count("*").alias("df"))
     rare = Window.partitionBy("id").orderBy("df", "s")
@@ -251,9 +329,8 @@ def similar_to(queries: DataFrame, sigs: DataFrame, params: Params = Params(), v
 
     ``queries`` and ``sigs`` are (id, sig); queries aren't added to the index, and one that is in it finds itself.
     """
-    q, t = band_entries(queries, params).alias("q"), band_entries(sigs, params).alias("t")
-    same = (F.col("q.band") == F.col("t.band")) & (F.col("q.key") == F.col("t.key"))
-    hits = q.join(t, same).select(F.col("q.id").alias("q"), F.col("t.id").alias("id")).distinct()
+    q, t = band_keys(queries, params), band_keys(sigs, params)
+    hits = q.withColumnRenamed("id", "q").join(t, "key").select("q", "id").distinct()
     left, right = queries.select(F.col("id").alias("q"), F.col("sig").alias("x")), sigs.select("id", F.col("sig").alias("y"))
     scored = hits.join(left, "q").join(right, "id").select("q", "id", estimated(F.col("x"), F.col("y")).alias("similarity"))
     return scored.where(F.col("similarity") >= params.threshold) if verified else scored
@@ -265,3 +342,55 @@ def quality(found: DataFrame, true: DataFrame) -> DataFrame:
     n = f.join(t, ["a", "b"], "full").agg(F.count("f").alias("found"), F.count("t").alias("true"), F.sum(F.when(F.col("f").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).alias("both"))
     share = lambda whole: F.when(F.col(whole) == 0, 1.0).otherwise(F.col("both") / F.col(whole))
     return n.select("found", "true", F.coalesce("both", F.lit(0)).cast("long").alias("both"), share("true").alias("recall"), share("found").alias("precision"))
+
+
+class SignatureIndex:
+    """A growing index of texts at ``path``: their sketches, appended as they come; texts aren't kept.
+
+    ``add`` costs as much as the texts it adds.  Queries aren't added; each call sees what has been added
+    before it.  Ids are BIGINT and the caller's; texts under one id twice are two entries.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, params: Params = Params()):
+        self.spark, self.path, self.params = spark, path, params
+        self._schema = "id bigint, d1 bigint, d2 bigint, sig array<int>"
+        spark.createDataFrame([], self._schema).write.mode("append").parquet(path)
+
+    def add(self, texts: DataFrame, id_col: str = "id", text: str = "text") -> None:
+        own = texts.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
+        sketches(own, "id", "t", self.params).write.mode("append").parquet(self.path)
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(self._schema).parquet(self.path)
+
+    def size(self) -> int:
+        return self.entries().count()
+
+    def signature(self, id: int) -> list[int] | None:
+        """One entry's signature: a filter that is pushed to the files."""
+        row = self.entries().where(F.col("id") == id).select("sig").first()
+        return None if row is None else list(row[0])
+
+    def signatures(self, ids: DataFrame) -> DataFrame:
+        """(id, sig) of all the ids (column id) that are there."""
+        return self.entries().join(ids.select("id").distinct(), "id", "left_semi").select("id", "sig")
+
+    def _asked(self, texts: DataFrame, id_col: str, text: str) -> DataFrame:
+        return sketches(texts.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t")), "id", "t", self.params).select("id", "sig")
+
+    def candidates_of(self, texts: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+        """(q, id): entries that share a band with each query text, not verified."""
+        q = band_keys(self._asked(texts, id_col, text), self.params).withColumnRenamed("id", "q")
+        return q.join(band_keys(self.entries(), self.params), "key").select("q", "id").distinct()
+
+    def similar_to(self, texts: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+        """(q, id, similarity) of the candidates whose estimated similarity reaches the threshold."""
+        return similar_to(self._asked(texts, id_col, text), self.entries().select("id", "sig"), self.params)
+
+    def classes(self) -> Classes:
+        members, heads = group_sketches(self.entries())
+        return Classes(None, members, heads.select("id", "sig"), self.params)
+
+    def duplicates(self) -> DataFrame:
+        """(a, b, similarity) of all classes of entries, as lsh_pairs."""
+        return lsh_pairs(self.classes(), self.params)

@@ -41,7 +41,7 @@ def _claims(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, folder: str) -> neardup.Classes:
-    return neardup.classes(_claims(spark, folder), "id", "claim", PARAMS.k)
+    return neardup.classes(_claims(spark, folder), "id", "claim", params=PARAMS)
 
 
 def shingle_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +58,7 @@ def neardup_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.candidates(neardup.signatures(_classes(spark, folder).sets, PARAMS), PARAMS)
+    return neardup.candidates(_classes(spark, folder).sigs, PARAMS)
 
 
 def neardup_pairs_lsh(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,13 +74,13 @@ def neardup_pairs_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def similar_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    sigs = neardup.signatures(_classes(spark, folder).sets, PARAMS)
+    sigs = _classes(spark, folder).sigs
     return neardup.similar_to(sigs.where("id % 100 = 0"), sigs, PARAMS)
 
 
 def _lookup_rows(groups: neardup.Classes, params: neardup.Params) -> DataFrame:
     """(q, id, similarity): classes similar to the text of each id divisible by 100; a class is searched once, whichever of its ids ask."""
-    sigs = materialize(neardup.signatures(groups.sets, params), "signatures")
+    sigs = groups.sigs
     asked = groups.members.where("id % 100 = 0").select(F.col("id").alias("asks"), F.col("class_id").alias("q"))
     found = neardup.similar_to(sigs.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi"), sigs, params)
     return asked.join(found, "q").select(F.col("asks").alias("q"), "id", "similarity").distinct()
@@ -101,7 +101,7 @@ def neardup_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _document_classes(spark: SparkSession, folder: str) -> neardup.Classes:
-    return neardup.classes(_read(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", DOCUMENT_PARAMS.k)
+    return neardup.classes(_read(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", params=DOCUMENT_PARAMS)
 
 
 def documents_members(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ def documents_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents_lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.candidates(neardup.signatures(_document_classes(spark, folder).sets, DOCUMENT_PARAMS), DOCUMENT_PARAMS)
+    return neardup.candidates(_document_classes(spark, folder).sigs, DOCUMENT_PARAMS)
 
 
 def documents_pairs_lsh(spark: SparkSession, folder: str) -> DataFrame:
