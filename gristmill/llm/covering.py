@@ -24,7 +24,7 @@ from gristmill.functions.arrow import parts, row_chunks, text_bytes
 from gristmill.functions.text import fold
 from gristmill.operators.collide import binary_rows, colliding_pairs
 from gristmill.operators.components import components
-from gristmill.operators.neardup import Classes, exact_pairs, parity_words
+from gristmill.operators.neardup import Classes, exact_pairs, mixed, parity_words
 from gristmill.session import materialize
 
 SHINGLE = 3
@@ -46,12 +46,6 @@ def masks(radius: int = RADIUS) -> np.ndarray:
     return np.array([sum(field << (PLACE_BITS * (i - 1)) for i in places if (i & v).bit_count() & 1) for v in places], np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all 3-character substrings (one number for each substring, without collisions), and the count of each text."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -72,21 +66,21 @@ def sketch(texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> tupl
     codes, counts = shingle_codes(texts)
     some = counts > 0
     n = int(some.sum())
-    x = _mix(codes)
+    x = mixed(codes)
     starts = (np.cumsum(counts) - counts)[some]
-    factors = _mix(np.arange(places, dtype=np.uint64) + np.uint64(SEED)) | np.uint64(1)
+    factors = mixed(np.arange(places, dtype=np.uint64) + np.uint64(SEED)) | np.uint64(1)
     low = np.empty((places, n), np.uint64)
     for k in range(places):
         if n:
             np.minimum.reduceat(x * factors[k], starts, out=low[k])
-    low = _mix(low)
+    low = mixed(low)
     field = low >> np.uint64(64 - PLACE_BITS)
     words = np.zeros((n, blocks), np.uint64)
     for k in range(places):
         words[:, k // width] |= field[k] << np.uint64(PLACE_BITS * (k % width))
     own = masks(radius)
     table = (np.arange(blocks * width, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    keys = _mix((words[:, :, None] & own[None, None, :]).reshape(n, blocks * width) ^ _mix(table)[None, :])
+    keys = mixed((words[:, :, None] & own[None, None, :]).reshape(n, blocks * width) ^ mixed(table)[None, :])
     row = np.repeat(np.arange(n), counts[some])
     order = np.lexsort((codes, row))
     codes, row = codes[order], row[order]
