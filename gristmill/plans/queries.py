@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.plans import problems, reference
+from gristmill.plans import problems, reference, sources
 
-QUERIES: dict = {**reference.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**reference.SQL, **problems.SQL}
+QUERIES: dict = {**reference.QUERIES, **sources.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**reference.SQL, **sources.SQL, **problems.SQL}

@@ -67,16 +67,27 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = register_written(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def register_written(path: str) -> str:
+    """``path``, to be deleted when the session stops or the process ends, or by clean_shared before."""
     if not _written:
         atexit.register(_forget)
     _written.add(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _forget() -> None:
-    """At the end of the process: its materialized tables in folders that this machine sees."""
+    """At the end of the process: its tables in the shared folder, on whatever file system, as long as a session is there."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            return _delete(spark, list(_written))
+    except Exception:  # noqa: BLE001 - the gateway may be gone at exit
+        pass
     for path in _written:
         if path.startswith(("/", "file:/")):
             shutil.rmtree(path.removeprefix("file://"), True)
