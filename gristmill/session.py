@@ -24,6 +24,8 @@ def local_session(name: str = "gristmill", cores: str = "*", **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
+        # A megabyte of texts or points is much work here; partitions of that size would leave cores idle.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     }
     return builder.config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 

@@ -39,3 +39,20 @@ def test_empty_files(spark, tmp_path):
 def test_document_text(spark):
     df = spark.createDataFrame([("t", "b"), (None, "b"), ("t", None), (None, None)], "t string, b string")
     assert [r[0] for r in df.select(document_text(F.col("t"), F.col("b"))).collect()] == ["t b", " b", "t ", " "]
+
+
+def test_only_the_first_line_is_the_header(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, text in (("a.csv", "id,v\n1,a\nid,v\n2,b\n"), ("b.csv", "id,v\n3,c\n"), ("c.csv", "id,v\n")):
+        (folder / name).write_text(text)
+    assert rows(read_columns(spark, str(folder), "id", "v")) == [("1", "a"), ("2", "b"), ("3", "c"), ("id", "v")]
+
+
+def test_lines_of_a_table_and_back(spark):
+    from gristmill.sources.columns import csv_line, parse_lines
+
+    df = spark.createDataFrame([(1, 'a "b", c', None), (2, "", "x\ny"), (3, None, ",")], "n int, a string, b string")
+    got = parse_lines(df.select("n", csv_line(F.col("a"), F.col("b")).alias("line")), "line")
+    assert {r.n: r.fields for r in got.collect()} == {1: ['a "b", c', ""], 2: ["", "x y"], 3: ["", ","]}
+    assert parse_lines(spark.createDataFrame([(None,)], "line string"), "line").first().fields is None

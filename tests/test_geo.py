@@ -89,3 +89,20 @@ def test_chord_and_box(spark):
         fn.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half"),
     ).first()
     assert round(row.far, 9) == 4 and row.box == 2 and math.isclose(row.chord2, fn.chord(100) ** 2) and math.isclose(row.half, math.pi * 6371)
+
+
+def test_crowded_cells_are_met_in_parts(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, 50 + rng.gauss(0, 0.01), 8 + rng.gauss(0, 0.01)) for i in range(400)] + [(400 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, lat double, lng double")
+    q = df.where("id % 3 = 0").withColumnRenamed("id", "qid")
+    want = {r: sorted((i, j) for i in range(0, 450, 3) for j in range(450) if km(*rows[i][1:], *rows[j][1:]) <= r) for r in (1.0, 3000.0)}
+    away = df.where("id % 5 = 0").select(F.col("id").alias("qid"), (F.col("lat") + 0.03).alias("lat"), "lng").where("lat <= 90")
+    near = {x.qid: min(range(450), key=lambda j: (km(x.lat, x.lng, *rows[j][1:]), j)) for x in away.collect()}
+    monkeypatch.setattr(geo, "PART", 30)
+    monkeypatch.setattr(geo, "CROWDED", 5)
+    monkeypatch.setattr(geo, "SLICE", 40)
+    for r in want:
+        assert sorted((x.qid, x.id) for x in geo.radius_join(df, q, r).collect()) == want[r]
+    assert sorted((x.qid, x.id) for x in geo.radius_join_plain(df, q, 1.0).collect()) == want[1.0]
+    assert {x.qid: x.id for x in geo.nearest_join(df, away).collect()} == near

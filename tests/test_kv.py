@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gristmill.operators import kv
 from gristmill.sources.kv_store import KvStore
 
@@ -124,3 +126,72 @@ def test_point_look_up_is_pushed_to_the_files(spark, tmp_path):
     store.put("a", "1")
     plan = store.table().where("key = 'a'")._jdf.queryExecution().toString()
     assert "EqualTo(key,a)" in plan
+
+
+def test_a_change_that_fails_before_the_pointer_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    store = KvStore(spark, path)
+    store.put("a", "1")
+
+    def killed(self, meta):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(KvStore, "_publish", killed)
+        with pytest.raises(RuntimeError):
+            store.put("a", "2")
+    again = KvStore(spark, path)
+    assert again.get("a") == "1"
+    again.put("b", "3")
+    assert {r.key: r.value for r in store.table().collect()} == {"a": "1", "b": "3"}
+
+
+def test_two_writers_cannot_make_one_version(spark, tmp_path):
+    from gristmill.sources.kv_store import ConcurrentChange
+
+    store = KvStore(spark, str(tmp_path / "t"))
+    meta = store.meta() | {"number": 1}
+    store._publish(meta)
+    with pytest.raises(ConcurrentChange):
+        store._publish(meta)
+    assert store.meta()["number"] == 1
+
+
+def test_a_look_up_needs_one_file_of_the_base(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = KvStore(spark, str(tmp_path / "t"), partitions=4)
+    store.apply(spark.range(4000).selectExpr("id as seq", "'put' as op", "format_string('k%06d', hash(id) % 100000) as key", "'v' as value"))
+    store.compact()
+    files = sorted((tmp_path / "t" / store.meta()["base"]).glob("*.parquet"))
+    ranges = sorted((s.min, s.max) for f in files for s in [pq.ParquetFile(f).metadata.row_group(0).column(0).statistics])
+    assert len(ranges) == 4 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert store.get(ranges[2][0]) == "v"
+
+
+def test_many_small_changes_fold(spark, tmp_path):
+    from gristmill.sources import kv_store
+
+    store = KvStore(spark, str(tmp_path / "t"))
+    want = {}
+    for i in range(kv_store.MAX_DELTAS + 3):
+        k = f"k{i % 4}"
+        if i % 5 == 4:
+            store.delete(k)
+            want.pop(k, None)
+        else:
+            store.put(k, str(i))
+            want[k] = str(i)
+    assert {r.key: r.value for r in store.table().collect()} == want
+    assert len(store.meta()["deltas"]) <= kv_store.MAX_DELTAS and store.meta()["base"]
+
+
+def test_file_sizes(spark):
+    df = spark.createDataFrame([(0,), (504,), (505,), (1016,), (1017,), (100_000,)], "b bigint")
+    assert [r[0] for r in df.select(kv.file_bytes(F.col("b"), 512)).collect()] == [512, 512, 1024, 1024, 2048, 131072]
+
+
+def test_layout_of_uneven_tables(spark):
+    pairs = [(f"k{i}", "v" * (2000 if i % 50 == 0 else 1)) for i in range(400)]
+    table = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(pairs)], "key string, value string, seq bigint")
+    assert sorted(map(tuple, kv.layout(table, 512).collect())) == split_by_hand(pairs, 512)
