@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import same_name
 from gristmill.operators.nearby import nearby_pairs
-from gristmill.operators.packed import Field, infer_delimiters, unpack
+from gristmill.operators.packed import CANDIDATES, Field, infer_delimiters, unpack
 from gristmill.sources.bad_rows import claim_fields, load_records
 
 PACKED = [Field("cited_doc_ids"), Field("evidence_sentences", quoted=True)]
@@ -42,20 +42,30 @@ def p4_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return unpack(_read(spark, folder, "claims_test"), PACKED, order="loaded_at")
+    """The values that splitting at the inferred delimiters gives; what isn't one then is in p5_unclean."""
+    return unpack(_read(spark, folder, "claims_test"), PACKED, order="loaded_at", unclean="flag").where("clean").drop("clean")
+
+
+def p5_unclean(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces that are no value under the inferred delimiters."""
+    return unpack(_read(spark, folder, "claims_test"), PACKED, order="loaded_at", unclean="flag").where("not clean").select("id", "field", "item")
 
 
 def p5_delimiters(spark: SparkSession, folder: str) -> DataFrame:
-    return infer_delimiters(_read(spark, folder, "claims_test"), PACKED).select("field", "delimiter", "rows", F.round("score", 6).alias("score"), "accepted")
+    return infer_delimiters(_read(spark, folder, "claims_test"), PACKED).select("field", "delimiter", "rows", F.round("consistency", 6).alias("consistency"), F.round("regularity", 6).alias("regularity"), F.round("score", 6).alias("score"), "accepted")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_names, p5_found, p5_delimiters)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_names, p5_found, p5_unclean, p5_delimiters)}
 
 _FIELD = r'("[^"]*(""[^"]*)*"|[^",]*)'
 _GEO = "g AS (SELECT id, arg_min(lat, loaded_at) AS lat, arg_min(lng, loaded_at) AS lng, arg_min(name, loaded_at) AS name FROM geo_object WHERE lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lng) GROUP BY id), "
 _GEO += "b AS (SELECT *, CAST(floor((lat + 90) / 0.005) AS BIGINT) AS band FROM g), n AS (SELECT *, band + unnest([-1, 0, 1]) AS near FROM b), "
 _GEO += "d AS (SELECT x.id AS id_a, x.name AS name_a, y.id AS id_b, y.name AS name_b, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2)))) AS km FROM n x JOIN b y ON x.near = y.band AND x.id < y.id)"
 
+_SIGNS = [(c, {"\t": r"\t", "\n": r"\n", "\r": r"\r"}.get(c, "[" + ("\\" if c in "-." else "") + c + "]")) for c in CANDIDATES]
+_CANDIDATE_ROWS = ", ".join(f"(chr({ord(c)}), '{p}+')" if c.isspace() else f"(chr({ord(c)}), '\\s*{p}\\s*')" for c, p in _SIGNS)
+_EVERY = "[" + "".join(p.strip("[]") for _, p in _SIGNS) + "]"
+
 SQL = {
     # The rules, one after the other, by regular expressions over whole records.
     "p2_found": f"""
@@ -70,6 +80,25 @@ j AS (SELECT line_no, CASE WHEN broken THEN 'quoting' WHEN n IS NULL OR n <> 6 T
 SELECT line_no, reason FROM j WHERE reason IS NOT NULL""",
     "p4_found": f"WITH {_GEO} SELECT id_a, id_b FROM d WHERE km <= 0.5",
     "p4_names": f"WITH {_GEO} SELECT id_a, name_a, id_b, name_b, round(km, 6) AS distance_km FROM d WHERE km <= 0.5",
+    # Each candidate over the rows in which it is the only one, else over those in which it stands with others.
+    "p5_delimiters": r"""
+WITH v AS (SELECT 'cited_doc_ids' AS field, regexp_replace(cited_doc_ids, '["''“”]', '', 'g') AS v FROM claims_test WHERE cited_doc_ids IS NOT NULL
+  UNION ALL SELECT 'evidence_sentences', regexp_replace(evidence_sentences, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|“[^”]*”', 'Q', 'g') FROM claims_test WHERE evidence_sentences IS NOT NULL),
+b AS (SELECT field, regexp_replace(regexp_replace(v, '[\[\](){}]', '', 'g'), '^\s+|\s+$', '', 'g') AS v FROM v),
+k(d, p) AS (VALUES {candidates}),
+t AS (SELECT field, v, d, regexp_replace(v, p, d, 'g') AS w FROM b JOIN k ON contains(v, d)),
+a AS (SELECT *, NOT regexp_matches(replace(w, d, ''), '{every}') AS alone FROM t),
+s AS (SELECT field, d, v, alone, list_filter(CASE WHEN alone THEN string_split(w, d) ELSE regexp_split_to_array(v, '{every}') END, lambda x: x <> '') AS l FROM a),
+j AS (SELECT field, d, alone, len(list_filter(l, lambda x: regexp_full_match(x, '[0-9]+|Q'))) / CAST(greatest(len(l), 1) AS DOUBLE) AS r, CASE WHEN len(regexp_extract_all(v, '[0-9]+|Q')) = len(l) THEN 1e0 ELSE 0e0 END AS c FROM s),
+g AS (SELECT field, d, alone, count(*) AS rows, avg(c) AS c, avg(r) AS r, row_number() OVER (PARTITION BY field, d ORDER BY alone DESC) AS n FROM j GROUP BY field, d, alone)
+SELECT field, d AS delimiter, rows, round(c, 6) AS consistency, round(r, 6) AS regularity, round((c + r) / 2, 6) AS score, (c + r) / 2 >= 0.5 AS accepted FROM g WHERE n = 1""".replace("{candidates}", _CANDIDATE_ROWS).replace("{every}", _EVERY),
+    # Of the pieces between signs that separate, those that are neither a number nor a quoted text.
+    "p5_unclean": r"""
+WITH c AS (SELECT id, arg_min(coalesce(cited_doc_ids, ''), loaded_at) AS c, arg_min(coalesce(evidence_sentences, ''), loaded_at) AS e FROM claims_test GROUP BY id),
+v AS (SELECT id, 'cited_doc_ids' AS field, regexp_replace(c, '["''“”]', ' ', 'g') AS v FROM c
+  UNION ALL SELECT id, 'evidence_sentences', regexp_replace(e, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|“[^”]*”', ' ', 'g') FROM c),
+u AS (SELECT id, field, unnest(regexp_split_to_array(v, '[\[\](){},;|/\s]')) AS item FROM v)
+SELECT id, field, item FROM u WHERE item <> '' AND NOT regexp_full_match(item, '[0-9]+')""",
     "p5_found": """
 WITH c AS (SELECT id, arg_min(coalesce(cited_doc_ids, ''), loaded_at) AS c, arg_min(coalesce(evidence_sentences, ''), loaded_at) AS e FROM claims_test GROUP BY id),
 v AS (SELECT id, 'cited_doc_ids' AS field, regexp_extract_all(c, '[0-9]+') AS l FROM c

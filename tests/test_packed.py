@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from gristmill.operators.packed import Field, infer_delimiters, unpack
 
 FIELDS = [Field("c"), Field("e", quoted=True)]
@@ -55,3 +57,22 @@ def test_delimiters_by_source(spark):
     found = {(r.source, r.delimiter): r.accepted for r in infer_delimiters(df, FIELDS, "s").collect()}
     assert found[("a", ";")] and found[("b", "|")] and ("a", "|") not in found
     assert rows_of(unpack(df, FIELDS, source="s")) == want([r[:3] for r in rows])
+
+
+def test_the_delimiters_decide(spark):
+    rows = [(1, "1,2", "'a';\"b, c\""), (2, "3;4", "5|6"), (3, "[7, 8]", "9")]
+    df = spark.createDataFrame(rows, "id bigint, c string, e string")
+    right = {"c": [",", ";"], "e": [";", "|"]}
+    flagged = lambda d: sorted(map(tuple, unpack(df, FIELDS, delimiters=d, unclean="flag").collect()), key=str)
+    assert [r[:4] for r in flagged(right)] == want(rows) and all(r[4] for r in flagged(right))
+    wrong = flagged({"c": [","], "e": [";"]})
+    assert [r for r in wrong if not r[4]] == [(2, "c", None, "3;4", False), (2, "e", None, "5|6", False)]
+    assert rows_of(unpack(df, FIELDS, delimiters={"c": [","], "e": [";"]})) == want(rows)
+    with pytest.raises(ValueError):
+        unpack(df, FIELDS, unclean="drop")
+
+
+def test_a_sign_within_values_is_no_delimiter(spark):
+    rows = [(i, f"v{i}.a, v{i}.b", None) for i in range(30)] + [(100 + i, f"{i}, {i + 1}", None) for i in range(30)] + [(200, "1;2", None)]
+    got = {r.delimiter: (r.accepted, r.rows) for r in infer_delimiters(spark.createDataFrame(rows, "id bigint, c string, e string"), [Field("c")]).collect()}
+    assert got == {",": (True, 30), ".": (False, 30), ";": (True, 1), " ": (False, 30)} or not got["."][0] and got[","][0] and got[";"][0]
