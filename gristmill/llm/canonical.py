@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import ALNUM, fold
-from gristmill.operators.components import components
 from gristmill.session import materialize
 
 # Names that begin the fields of a labelled record.
@@ -27,55 +26,39 @@ def field_texts(text: Column, names: list[str] | None = None, separators: str =
 
 
 def digests(df: DataFrame, id_col: str, text: Column, names: list[str] | None = None) -> DataFrame:
-    """(id, leaf, node, canon): digests and normal form of each record's structure.
+    """(id, root, canon): the root digest of each record's structure, and the normal form that it stands for.
 
-    ``leaf`` is the digest of the whole folded text, the record taken as one leaf.  ``node`` is the root
-    digest of a labelled record: its folded fields are leaves, the leaves' digests are sorted, as the
-    order of fields doesn't count, and hashed again; null for other records.  ``canon`` holds
-    the normalised leaves, for the full comparison.
+    A labelled record is a node: its folded fields are leaves, and the leaves' digests are sorted, as the
+    order of fields doesn't count, and hashed again.  Any other record is one leaf, its folded text.
+    ``canon`` holds the normalised leaves, for the full comparison; the kind of root is part of it.  Of
+    several texts of one id the smallest counts.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t")).where("id is not null and t is not null").distinct()
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t")).where("id is not null and t is not null").groupBy("id").agg(F.min("t").alias("t"))
     rows = rows.select("id", fold(F.col("t")).alias("flat"), field_texts(F.col("t"), names).alias("parts")).where("flat <> ''")
-    leaves = F.transform("parts", fold)
-    rows = rows.select("id", "flat", F.when(F.col("parts").isNotNull(), F.array_sort(leaves)).alias("leaves"))
-    inner = F.array_sort(F.transform("leaves", lambda x: F.md5(x.cast("binary"))))
-    return rows.select("id", F.md5(F.col("flat").cast("binary")).alias("leaf"), F.when(F.col("leaves").isNotNull(), F.md5(F.concat_ws("", F.lit("node"), inner).cast("binary"))).alias("node"), "flat", "leaves")
-
-
-def _confirmed(rows: DataFrame, digest: str, canon: str) -> DataFrame:
-    """(id, keep) for each row: the smallest id among those of the same digest and normal form.
-
-    Groups are pre-aggregated by digest; only digests with several ids are compared, each row's form
-    with that of the group's smallest id.  Rows that differ from it, under one digest by chance, are
-    grouped by their form instead.
-    """
-    groups = rows.groupBy(digest).agg(F.min("id").alias("keep"), F.max("id").alias("top")).where("keep < top").select(digest, "keep")
-    shared = rows.select("id", digest, canon).join(groups, digest)
-    heads = shared.where("id = keep").groupBy(digest).agg(F.first(canon).alias("head"))
-    judged = materialize(shared.join(heads, digest).select("id", "keep", canon, (F.col(canon) == F.col("head")).alias("same")), "judged")
-    other = judged.where("not same")
-    own = other.join(other.groupBy(canon).agg(F.min("id").alias("k")), canon).select("id", F.col("k").alias("keep"))
-    return judged.where("same").select("id", "keep").unionByName(own)
+    node = F.col("parts").isNotNull()
+    canon = F.when(node, F.concat(F.array(F.lit("node")), F.array_sort(F.transform("parts", fold)))).otherwise(F.array(F.lit("leaf"), F.col("flat")))
+    rows = rows.select("id", canon.alias("canon"))
+    below = F.transform(F.slice("canon", 2, F.size("canon") - 1), lambda x: F.md5(x.cast("binary")))
+    return rows.select("id", F.md5(F.concat_ws("", F.element_at("canon", 1), F.array_sort(below)).cast("binary")).alias("root"), "canon")
 
 
 def same_records(df: DataFrame, id_col: str = "id", text: str = "claim", names: list[str] | None = None) -> DataFrame:
     """(id, keep_id) of every record that has a letter or digit; keep_id is the smallest id of its group.
 
-    Records are the same by equal folded text, or, if labelled, by equal folded fields in any order,
-    each as often; groups hold what is the same through others too.  An id that comes more than once
-    counts once; null and blank texts take no part; an empty table gives an empty table.
+    Records are the same if their root digests are equal and so are their normal forms: labelled records by
+    their folded fields in any order, each as often, all others by their folded text.  A labelled record
+    and one that has lost a separator, and with it a field, aren't the same, though their letters are.
+    Records are reduced by digest and form before the shuffle, so a form with very many copies is one row
+    of each task; digests that two forms share are told apart by the forms.  An id that comes more than
+    once counts once; null and blank texts take no part; an empty table gives an empty table.
     """
     rows = materialize(digests(df, id_col, F.col(f"`{text}`"), names), "digests")
-    flat = _confirmed(rows, "leaf", "flat")
-    fields = _confirmed(rows.where("node is not null"), "node", "leaves")
-    edges = materialize(flat.unionByName(fields).where("id <> keep").distinct(), "same")
-    # Nearly all edges end at their group's smallest id already; only groups where a record hangs on two go on.
-    several = edges.groupBy("id").agg(F.min("keep").alias("low"), F.max("keep").alias("high"))
-    links = several.where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    chained = edges.select(F.col("keep").alias("a")).distinct().join(edges.select("id", "keep"), F.col("a") == F.col("id")).select("a", F.col("keep").alias("b"))
-    roots = components(links.unionByName(chained))
-    kept = several.select("id", F.col("low").alias("keep")).join(roots.withColumnRenamed("node", "keep"), "keep", "left").select("id", F.coalesce("root", "keep").alias("keep_id"))
-    return rows.select("id").distinct().join(kept, "id", "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"))
+    forms = rows.groupBy("root", "canon").agg(F.min("id").alias("keep_id"))
+    groups = materialize(forms.groupBy("root").agg(F.min("keep_id").alias("keep_id"), F.count("*").alias("forms")), "groups")
+    alone = rows.select("id", "root").join(groups.where("forms = 1"), "root").select("id", "keep_id")
+    clash = groups.where("forms > 1").select("root")
+    apart = rows.join(clash, "root", "left_semi").join(forms.join(clash, "root", "left_semi"), ["root", "canon"]).select("id", "keep_id")
+    return alone.unionByName(apart)
 
 
 def collapse(df: DataFrame, id_col: str = "id", text: str = "claim", names: list[str] | None = None) -> DataFrame:

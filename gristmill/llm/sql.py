@@ -17,13 +17,10 @@ def _fold(x: str) -> str:
 
 _LABELLED = r"'(?i)^[^\pL\pN]*(population|exposure|comparator|outcome|direction)[\s\pZ]*[:=]'"
 _SAME = rf"""
-WITH RECURSIVE c AS (SELECT DISTINCT id, claim FROM claims_test WHERE id IS NOT NULL AND claim IS NOT NULL),
+WITH c AS (SELECT id, min(claim) AS claim FROM claims_test WHERE id IS NOT NULL AND claim IS NOT NULL GROUP BY id),
 f AS (SELECT id, {_fold("claim")} AS flat, list_filter(regexp_split_to_array(claim, '[;|]'), lambda p: regexp_matches(p, '[\pL\pN]')) AS p FROM c),
-r AS (SELECT id, flat, CASE WHEN len(p) >= 2 AND len(list_filter(p, lambda x: NOT regexp_matches(x, {_LABELLED}))) = 0 THEN CAST(list_sort(list_transform(p, lambda x: {_fold("x")})) AS VARCHAR) END AS fields FROM f WHERE flat <> ''),
-e AS (SELECT id, min(id) OVER (PARTITION BY flat) AS m FROM r UNION SELECT id, min(id) OVER (PARTITION BY fields) FROM r WHERE fields IS NOT NULL),
-b AS (SELECT id, m FROM e UNION SELECT m, id FROM e),
-w(id, k) AS (SELECT id, m FROM e UNION SELECT w.id, b.m FROM w JOIN b ON w.k = b.id),
-g AS (SELECT id, min(k) AS keep_id FROM w GROUP BY id)"""
+r AS (SELECT id, CASE WHEN len(p) >= 2 AND len(list_filter(p, lambda x: NOT regexp_matches(x, {_LABELLED}))) = 0 THEN 'fields ' || CAST(list_sort(list_transform(p, lambda x: {_fold("x")})) AS VARCHAR) ELSE 'text ' || flat END AS form FROM f WHERE flat <> ''),
+g AS (SELECT id, min(id) OVER (PARTITION BY form) AS keep_id FROM r)"""
 _LABELS = r"""WITH l AS (SELECT id, min(upper(regexp_replace(evidence_label, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'))) AS c FROM claims_test WHERE id IS NOT NULL GROUP BY id),
 n AS (SELECT c, count(*) AS n FROM l GROUP BY c),
 t AS (SELECT plan_id, evidence_label, greatest(min_rows, CAST(round(target_share * sample_size) AS BIGINT)) AS wanted, coalesce(n.n, 0) AS available FROM sample_targets LEFT JOIN n ON upper(trim(evidence_label)) = n.c)"""
