@@ -41,6 +41,11 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return _sample(spark, folder).report()
 
 
+def p6_wanted(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of the report that doesn't depend on the draw."""
+    return p6_report(spark, folder).select("plan_id", "evidence_label", "wanted", "available", "short")
+
+
 def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _sample(spark, folder).sample()
 
@@ -53,8 +58,21 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(_read(spark, folder, "documents")), _read(spark, folder, "pack_plan"))
 
 
+def p8_fill_report(spark: SparkSession, folder: str) -> DataFrame:
+    """For each plan: containers used, the fewest possible by volume, and the share of room that is free."""
+    return packing.fill_report(p8_containers(spark, folder), _read(spark, folder, "pack_plan"))
+
+
+def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, doc_id, parts, chars, in_bounds) of documents packed by their characters: all of each is placed, within a container."""
+    plans = _read(spark, folder, "pack_plan")
+    packed = packing.pack(_read(spark, folder, "documents"), plans, size="n_chars")
+    inside = packed.join(plans, "plan_id").withColumn("ok", (F.col("place") >= 0) & (F.col("place") + F.col("n_chars") <= F.col("capacity")))
+    return inside.groupBy("plan_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_chars").alias("chars"), F.bool_and("ok").alias("in_bounds"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.find_spam(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_copies, p6_found, p6_report, p6_sample, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_copies, p6_found, p6_report, p6_wanted, p6_sample, p7_ids, p8_containers, p8_fill_report, p8_parts, p9_found)}

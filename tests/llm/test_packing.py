@@ -60,11 +60,38 @@ def test_open_containers_of_many_partitions_are_merged(spark):
     assert len({r.container for r in rows}) == 1
 
 
-def test_items_over_half_cannot_be_combined(spark, monkeypatch):
-    monkeypatch.setattr(packing, "HANDED_ON", 3)
-    rows = check(spark, [(i, 60) for i in range(200)] + [(1000 + i, 40) for i in range(200)], [(1, 100)], parts=8)
-    # Containers are merged whole: two items of 40 that one task joined aren't parted again for another task's 60.
-    assert 200 <= len({r.container for r in rows}) <= 230
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_items_of_different_tasks_are_combined(spark, parts):
+    # Tasks that hold one size only: what each leaves open is opened for the others' items.
+    small = lambda lo, n: spark.range(lo, lo + 2000).select(F.col("id").alias("doc_id"), F.lit(n).cast("long").alias("n_tokens"))
+    half = max(1, parts // 2)
+    df = small(0, 60).repartition(half).unionByName(small(2000, 40).repartition(half))
+    rows = pack(df, [(1, 100)]).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.container].append((r.place, r.n_tokens))
+    assert len(rows) == 4000 and len(bins) <= 2040
+    assert all(sum(n for _, n in b) <= 100 and sorted(p for p, _ in b)[0] == 0 for b in bins.values())
+
+
+def test_three_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rng = random.Random(5)
+    rows = check(spark, [(i, rng.choice([0, 30, 31, 45, 52, 53, 70])) for i in range(400)], [(1, 100), (2, 7)], parts=9)
+    assert len({r.container for r in rows if r.plan_id == 1}) <= 1.1 * sum(r.n_tokens for r in rows if r.plan_id == 1) / 100
+
+
+def test_large_capacities_go_by_classes(spark):
+    rng = random.Random(6)
+    items = [(i, rng.randrange(1, 10_000_000)) for i in range(300)] + [(999, 10_000_000), (1000, 9_999_999)]
+    df = spark.createDataFrame(items, SCHEMA).repartition(5)
+    bins = defaultdict(list)
+    for r in pack(df, [(1, 10_000_000)]).collect():
+        bins[r.container].append((r.place, r.n_tokens))
+    for b in bins.values():
+        ends = [0] + [p + n for p, n in sorted(b)]
+        assert all(p >= e for (p, _), e in zip(sorted(b), ends)) and ends[-1] <= 10_000_000
+    assert sum(map(len, bins.values())) == 302 and len(bins) <= 1.03 * len(pack_local(np.array([n for _, n in items]), 10_000_000)[5]) + 1
 
 
 def test_odd_sizes(spark):
