@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.geo import EARTH_KM, haversine_km, is_valid
+from gristmill.session import materialize
 
 #: Side of a cell in radii; parts of a crowded cell along each side; points from which a cell is crowded.
 CELL_RADII, PARTS, CROWDED = 2.0, 8, 32
@@ -117,3 +118,20 @@ def nearby_pairs(df: DataFrame, radius_km: float, id_col: str = "id", lat: str =
     near = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.interior") | (distance <= radius_km)))
     names = [F.col(f"{s}.carry.c{k}").alias(f"{c}_{s}") for s in "ab" for k, c in enumerate(carry)]
     return near.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), distance.alias("distance_km"), *names)
+
+
+def nearby_classes(df: DataFrame, radius_km: float, id_col: str = "id", lat: str = "lat", lng: str = "lng", order: str | None = "loaded_at") -> DataFrame:
+    """(id, class_id, n_near) of each id with valid coordinates: the ids at its very coordinates, by the smallest, and how many other ids are near.
+
+    Equal points stand as one, with their number, before any pairing: a place that a third of all rows share is
+    one point, and its rows never form pairs.  Otherwise as nearby_pairs.
+    """
+    y, x = F.col(f"`{lat}`"), F.col(f"`{lng}`")
+    good = df.where(is_valid(y, x) & F.col(f"`{id_col}`").isNotNull())
+    named = good.select(F.col(f"`{id_col}`").alias("id"), *([F.col(f"`{order}`").alias("__order")] if order else []), y.alias("y"), x.alias("x"), F.lit(0).alias("carry"))
+    points = materialize(first_of_each(named, "__order" if order else None).select("id", "y", "x"), "points")
+    places = points.groupBy("y", "x").agg(F.min("id").alias("class_id"), F.count("*").alias("many"))
+    pairs = nearby_pairs(places.withColumnRenamed("class_id", "id").withColumnRenamed("y", "lat").withColumnRenamed("x", "lng"), radius_km, carry=["many"], order=None)
+    ends = pairs.select(F.col("id_a").alias("class_id"), F.col("many_b").alias("n")).unionByName(pairs.select(F.col("id_b").alias("class_id"), F.col("many_a").alias("n")))
+    near = places.join(ends.groupBy("class_id").agg(F.sum("n").alias("n")), "class_id", "left").select("y", "x", "class_id", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_near"))
+    return points.join(near, ["y", "x"]).select("id", "class_id", "n_near")

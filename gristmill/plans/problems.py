@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import same_name
-from gristmill.operators.nearby import nearby_pairs
+from gristmill.functions.geo import is_valid
+from gristmill.operators.nearby import first_of_each, nearby_classes, nearby_pairs
 from gristmill.operators.packed import CANDIDATES, Field, infer_delimiters, unpack
+from gristmill.operators.regions import points_in_regions
 from gristmill.sources.bad_rows import claim_fields, load_records
 
 PACKED = [Field("cited_doc_ids"), Field("evidence_sentences", quoted=True)]
@@ -41,6 +45,21 @@ def p4_names(spark: SparkSession, folder: str) -> DataFrame:
     return nearby_pairs(_read(spark, folder, "geo_object"), 0.5, carry=["name"]).select("id_a", "name_a", "id_b", "name_b", F.round("distance_km", 6).alias("distance_km"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each point: the class of its equal points and how many others are near; no pairs of equal points are made."""
+    return nearby_classes(_read(spark, folder, "geo_object"), 0.5)
+
+
+def p4_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """(region, id): the points in the star-shaped polygons around each point whose id is divisible by 100."""
+    points = first_of_each(_read(spark, folder, "geo_object").where(is_valid(F.col("lat"), F.col("lng"))).select("id", "loaded_at", F.col("lat").alias("y"), F.col("lng").alias("x"), F.lit(0).alias("carry")), "loaded_at")
+    points = points.select("id", F.col("y").alias("lat"), F.col("x").alias("lng"))
+    reach = lambda k: 1.5 + F.pmod(F.col("id") + 7 * k, F.lit(5)) * 0.7
+    corner = lambda k: F.struct(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + reach(k) * F.cos(k * math.pi / 6))).alias("lat"), (F.col("lng") + reach(k) * F.sin(k * math.pi / 6)).alias("lng"))
+    polygons = points.where("id % 100 = 0").select(F.col("id").alias("region"), F.array(F.transform(F.sequence(F.lit(0), F.lit(11)), corner)).alias("rings"))
+    return points_in_regions(points, polygons)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The values that splitting at the inferred delimiters gives; what isn't one then is in p5_unclean."""
     return unpack(_read(spark, folder, "claims_test"), PACKED, order="loaded_at", unclean="flag").where("clean").drop("clean")
@@ -55,7 +74,7 @@ def p5_delimiters(spark: SparkSession, folder: str) -> DataFrame:
     return infer_delimiters(_read(spark, folder, "claims_test"), PACKED).select("field", "delimiter", "rows", F.round("consistency", 6).alias("consistency"), F.round("regularity", 6).alias("regularity"), F.round("score", 6).alias("score"), "accepted")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_names, p5_found, p5_unclean, p5_delimiters)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_names, p4_classes, p4_regions, p5_found, p5_unclean, p5_delimiters)}
 
 _FIELD = r'("[^"]*(""[^"]*)*"|[^",]*)'
 _GEO = "g AS (SELECT id, arg_min(lat, loaded_at) AS lat, arg_min(lng, loaded_at) AS lng, arg_min(name, loaded_at) AS name FROM geo_object WHERE lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lng) GROUP BY id), "
@@ -80,6 +99,12 @@ j AS (SELECT line_no, CASE WHEN broken THEN 'quoting' WHEN n IS NULL OR n <> 6 T
 SELECT line_no, reason FROM j WHERE reason IS NOT NULL""",
     "p4_found": f"WITH {_GEO} SELECT id_a, id_b FROM d WHERE km <= 0.5",
     "p4_names": f"WITH {_GEO} SELECT id_a, name_a, id_b, name_b, round(km, 6) AS distance_km FROM d WHERE km <= 0.5",
+    "p4_classes": f"WITH {_GEO}, e AS (SELECT id_a AS id FROM d WHERE km <= 0.5 UNION ALL SELECT id_b FROM d WHERE km <= 0.5), c AS (SELECT id, count(*) AS n FROM e GROUP BY id) SELECT g.id, min(g.id) OVER (PARTITION BY lat, lng) AS class_id, coalesce(c.n, 0) AS n_near FROM g LEFT JOIN c ON g.id = c.id",
+    "p4_regions": f"""WITH {_GEO.split(', b AS')[0]},
+v AS (SELECT id, k, greatest(-90e0, least(90e0, lat + (1.5e0 + ((id + 7 * k) % 5) * 0.7e0) * cos(k * pi() / 6))) AS vy, lng + (1.5e0 + ((id + 7 * k) % 5) * 0.7e0) * sin(k * pi() / 6) AS vx FROM g, range(12) r(k) WHERE id % 100 = 0),
+e AS (SELECT v.id AS region, v.vy AS a, v.vx AS b, w.vy AS c, w.vx AS d FROM v JOIN v w ON v.id = w.id AND w.k = (v.k + 1) % 12),
+h AS (SELECT region, g.id, t, count(*) AS n FROM e, g, (VALUES (-360e0), (0e0), (360e0)) u(t) WHERE (a > lat) <> (c > lat) AND (d - b) * (lat - a) / (c - a) + b > lng + t GROUP BY ALL)
+SELECT region, id FROM h WHERE n % 2 = 1""",
     # Each candidate over the rows in which it is the only one, else over those in which it stands with others.
     "p5_delimiters": r"""
 WITH v AS (SELECT 'cited_doc_ids' AS field, regexp_replace(cited_doc_ids, '["''“”]', '', 'g') AS v FROM claims_test WHERE cited_doc_ids IS NOT NULL

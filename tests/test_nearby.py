@@ -54,3 +54,12 @@ def test_empty_and_clashing_columns(spark):
     assert [(r.id_a, r.id_b, r.y_a, r.band_b, r.cell_a) for r in got] == [(1, 2, "v", 1, 2)]
     with pytest.raises(ValueError):
         nearby_pairs(df, 0)
+
+
+def test_classes_of_equal_points(spark):
+    from gristmill.operators.nearby import nearby_classes
+
+    rows = [(i, 10.0, 20.0, "x", 0) for i in range(1, 400)] + [(500, 10.001, 20.0, None, 0), (501, 10.001, 20.0, None, 0), (600, -5.0, 3.0, "lone", 0), (700, None, 3.0, "", 0), (None, 1.0, 1.0, "", 0)]
+    got = {r.id: (r.class_id, r.n_near) for r in nearby_classes(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as class_id", "2 as many", "3 as n_near"), 0.5).collect()}
+    assert got == {**{i: (1, 400) for i in range(1, 400)}, 500: (500, 400), 501: (500, 400), 600: (600, 0)}
+    assert nearby_classes(spark.createDataFrame([], SCHEMA), 0.5).count() == 0
