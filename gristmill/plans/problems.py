@@ -34,7 +34,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    return load_records(_read(spark, folder, "claims_raw"), claim_fields(_labels(spark, folder)), want="loaded")
+    """The typed fields of the valid records, lists written with commas ('?' for a number beyond BIGINT), and the fields with such numbers."""
+    loaded = load_records(_read(spark, folder, "claims_raw"), claim_fields(_labels(spark, folder)), want="loaded", beyond="beyond_bigint")
+    written = [F.array_join(c, ",", "?").alias(c) for c in ("evidence_sentences", "cited_doc_ids")]
+    return loaded.select("line_no", "id", "claim", "evidence_doc_id", "evidence_label", *written, "beyond_bigint")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,9 +88,8 @@ _SIGNS = [(c, {"\t": r"\t", "\n": r"\n", "\r": r"\r"}.get(c, "[" + ("\\" if c in
 _CANDIDATE_ROWS = ", ".join(f"(chr({ord(c)}), '{p}+')" if c.isspace() else f"(chr({ord(c)}), '\\s*{p}\\s*')" for c, p in _SIGNS)
 _EVERY = "[" + "".join(p.strip("[]") for _, p in _SIGNS) + "]"
 
-SQL = {
-    # The rules, one after the other, by regular expressions over whole records.
-    "p2_found": f"""
+# The rules, one after the other, by regular expressions over whole records.
+_RECORDS = f"""
 WITH r AS (SELECT line_no, regexp_replace(line, '[\\r\\n]+$', '') AS s FROM claims_raw),
 q AS (SELECT line_no, s, NOT regexp_full_match(s, '{_FIELD}(,{_FIELD})*', 's') AS broken FROM r),
 f AS (SELECT *, CASE WHEN broken THEN NULL ELSE regexp_extract_all(',' || s, ',{_FIELD}', 1, 's') END AS p FROM q),
@@ -95,8 +97,16 @@ u AS (SELECT line_no, broken, len(p) AS n, list_transform(p, lambda x: trim(CASE
 j AS (SELECT line_no, CASE WHEN broken THEN 'quoting' WHEN n IS NULL OR n <> 6 THEN 'columns'
   WHEN NOT regexp_full_match(v[1], '[0-9]+') OR NOT regexp_matches(v[2], '\\pL') OR regexp_matches(v[2], '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFD}}]')
     OR NOT regexp_full_match(v[3], '[0-9]*') OR NOT (v[4] = '' OR v[4] IN (SELECT evidence_label FROM sample_targets))
-    OR NOT regexp_full_match(v[5], '\\[ *([0-9]+ *(, *[0-9]+ *)*)?\\]') OR NOT regexp_full_match(v[6], '\\[ *([0-9]+ *(, *[0-9]+ *)*)?\\]') THEN 'value' END AS reason FROM u)
-SELECT line_no, reason FROM j WHERE reason IS NOT NULL""",
+    OR NOT regexp_full_match(v[5], '\\[ *([0-9]+ *(, *[0-9]+ *)*)?\\]') OR NOT regexp_full_match(v[6], '\\[ *([0-9]+ *(, *[0-9]+ *)*)?\\]') THEN 'value' END AS reason, v FROM u)"""
+_WRITTEN = r"array_to_string(list_transform(regexp_extract_all(v[{k}], '[0-9]+'), lambda x: coalesce(CAST(TRY_CAST(x AS BIGINT) AS VARCHAR), '?')), ',')"
+_BEYOND = r"len(list_filter(regexp_extract_all(v[{k}], '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT) IS NULL)) > 0"
+
+SQL = {
+    "p2_found": _RECORDS + "\nSELECT line_no, reason FROM j WHERE reason IS NOT NULL",
+    "p2_loaded": _RECORDS + rf"""
+SELECT line_no, TRY_CAST(v[1] AS BIGINT) AS id, v[2] AS claim, TRY_CAST(v[3] AS BIGINT) AS evidence_doc_id, nullif(v[4], '') AS evidence_label, {_WRITTEN.format(k=5)} AS evidence_sentences, {_WRITTEN.format(k=6)} AS cited_doc_ids,
+  nullif(array_to_string(list_filter([CASE WHEN {_BEYOND.format(k=1)} THEN 'id' END, CASE WHEN {_BEYOND.format(k=3)} THEN 'evidence_doc_id' END, CASE WHEN {_BEYOND.format(k=5)} THEN 'evidence_sentences' END, CASE WHEN {_BEYOND.format(k=6)} THEN 'cited_doc_ids' END], lambda x: x IS NOT NULL), ','), '') AS beyond_bigint
+FROM j WHERE reason IS NULL""",
     "p4_found": f"WITH {_GEO} SELECT id_a, id_b FROM d WHERE km <= 0.5",
     "p4_names": f"WITH {_GEO} SELECT id_a, name_a, id_b, name_b, round(km, 6) AS distance_km FROM d WHERE km <= 0.5",
     "p4_classes": f"WITH {_GEO}, e AS (SELECT id_a AS id FROM d WHERE km <= 0.5 UNION ALL SELECT id_b FROM d WHERE km <= 0.5), c AS (SELECT id, count(*) AS n FROM e GROUP BY id) SELECT g.id, min(g.id) OVER (PARTITION BY lat, lng) AS class_id, coalesce(c.n, 0) AS n_near FROM g LEFT JOIN c ON g.id = c.id",

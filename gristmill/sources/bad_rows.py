@@ -8,7 +8,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,58 @@ def too_large(line: str, values: list, fields: Fields) -> str | None:
     return ",".join(fields[k][0] for k in lost) or None
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, nth, line): the records of CSV files, each assembled from its physical lines.
+
+    A line break within quotes belongs to the record.  Whether a block of a file begins within quotes is known
+    from the number of quotes in the blocks before it, which are counted first, so all blocks are read in
+    parallel; only records that cross a block's end are put together by a shuffle.  ``start`` is the offset of
+    the block in which the record begins and ``nth`` its place there.  A quote that is never closed
+    runs to the end of its file, as one record.  One bit for each block reaches the tasks.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    quotes = F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "start").agg(quotes.alias("quotes")).withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    within = spark.sparkContext.broadcast({(r.file, r.start) for r in blocks.where("odd").select("file", "start").toLocalIterator()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "start", "nth", "line", "begun", "ended"]
+        block, nth, held, begun = None, 0, [], True
+
+        for batch in batches:
+            rows = []
+            for line, file, start in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, start) != block:
+                    if held:
+                        rows.append((*block, nth, "\n".join(held), begun, False))
+                    block, nth, held, begun = (file, start), 0, [], True
+                    quoted = block in within.value
+                    begun = not quoted
+                held.append(line)
+                quoted ^= bool(line.count('"') & 1)
+                if not quoted:
+                    rows.append((*block, nth, "\n".join(held), begun, True))
+                    nth, held, begun = nth + 1, [], True
+            yield _records(rows, names)
+        if held:
+            yield _records([(*block, nth, "\n".join(held), begun, False)], names)
+
+    parts = lines.mapInArrow(run, "file string, start bigint, nth bigint, line string, begun boolean, ended boolean")
+    whole = parts.where("begun and ended").select("file", "start", "nth", "line")
+    # The pieces of records across blocks, at most two of each block, in order: a piece that begins one opens a group.
+    order = Window.partitionBy("file").orderBy("start", "nth")
+    pieces = parts.where("not (begun and ended)").withColumn("record", F.sum(F.col("begun").cast("int")).over(order))
+    joined = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", "nth", "line"))).alias("p"))
+    crossing = joined.select("file", F.col("p")[0]["start"].alias("start"), F.col("p")[0]["nth"].alias("nth"), F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("line"))
+    return whole.unionByName(crossing)
+
+
+def _records(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
 def load_records(df: DataFrame, fields: Fields, line: str = "line", keep: list[str] | None = None, want: str = "all", beyond: str | None = None) -> DataFrame:
     """The columns ``keep``, the reason why a record failed or null, and its typed fields (null if it failed).
 

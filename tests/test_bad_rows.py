@@ -81,3 +81,27 @@ def test_loaded_and_failed_are_all(spark, data):
     from gristmill.plans.problems import p2_found, p2_loaded
 
     assert p2_found(spark, data).count() + p2_loaded(spark, data).count() == spark.read.parquet(f"{data}/claims_raw.parquet").count()
+
+
+def test_numbers_with_leading_zeros_and_beyond_bigint(spark):
+    zeros = "0" * 25 + "1"
+    assert load_record(f"{zeros},x,{zeros},,[{zeros}],[0]", FIELDS)[1] == [1, "x", 1, None, [1], [0]]
+    df = spark.createDataFrame([(1, GOOD), (2, f"{10**30},x,,,[1],[{10**19}]"), (3, "7,x,,,[],[]"), (4, "broken")], "line_no bigint, line string")
+    got = {r.line_no: r.beyond for r in load_records(df, FIELDS, beyond="beyond").collect()}
+    assert got == {1: None, 2: "id,cited_doc_ids", 3: None, 4: None}
+
+
+@pytest.mark.parametrize("block", [7, 20, 64, 1 << 20])
+def test_records_are_assembled_from_lines(spark, tmp_path, block):
+    from gristmill.sources.bad_rows import read_records
+
+    records = ['1,"two\nlines",,,[],[]', "2,plain,,,[],[]", '3,"a ""quoted""\n\nand, long\n one over blocks",,,[],[]', "", '4,"x\r\ny",,,[],[]', '"' + "z\n" * 40 + '",5'] * 3
+    (tmp_path / "a.csv").write_bytes(("\n".join(records) + "\n").encode())
+    (tmp_path / "b.csv").write_bytes(b'6,"never closed\n7,x')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        rows = read_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = [r.line for r in sorted(rows, key=lambda r: (r.file, r.start, r.nth))]
+    assert got == [*records, '6,"never closed\n7,x']
