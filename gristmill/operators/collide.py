@@ -15,19 +15,19 @@ from gristmill.session import materialize
 #: Entries of one key that are compared with one another in one step; a longer group is cut into chunks.
 CHUNK = 4096
 #: Pairs looked at in one step of a task.
-STEP = 1 << 20
+STEP = 1 << 16
 
-#: Tells, for two tables of payload (one row for each pair), which pairs to keep.
-Admit = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Of pairs (i, j) of rows of a table of payload, those to keep, as two arrays.  The table lies in columns: a check
+#: should read one column of the pairs that are left, not whole rows.
+Admit = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _admitted(ids: np.ndarray, load: np.ndarray, i: np.ndarray, j: np.ndarray, admit: Admit | None) -> tuple[np.ndarray, np.ndarray]:
-    keep = ids[i] != ids[j]
-    i, j = i[keep], j[keep]
     if admit is not None and len(i):
-        keep = admit(load[i], load[j])
-        i, j = i[keep], j[keep]
+        i, j = admit(load, i, j)
     a, b = ids[i], ids[j]
+    keep = a != b
+    a, b = a[keep], b[keep]
     return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -36,6 +36,7 @@ def pairs_of_runs(keys: np.ndarray, ids: np.ndarray, load: np.ndarray, admit: Ad
     n = len(keys)
     if n < 2:
         return
+    load = np.asfortranarray(load)
     new = np.ones(n, bool)
     new[1:] = keys[1:] != keys[:-1]
     at = np.arange(n)
@@ -142,7 +143,7 @@ def colliding_pairs(entries: DataFrame, width: int = 0, admit: Admit | None = No
             cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(keys))):
                 side = load[lo:hi, 0]
-                for a, b in _across(ids, load[:, 1:], lo + np.flatnonzero(side == 0), lo + np.flatnonzero(side == 1), admit):
+                for a, b in _across(ids, np.asfortranarray(load[:, 1:]), lo + np.flatnonzero(side == 0), lo + np.flatnonzero(side == 1), admit):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:

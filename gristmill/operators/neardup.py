@@ -17,7 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrow import parts
@@ -276,52 +276,72 @@ def parity_words(hashes: np.ndarray, counts: np.ndarray, words: int = PARITY_WOR
     return np.packbits(odd).view(np.int64).reshape(n, words)
 
 
-def _bitmaps(sets: DataFrame) -> DataFrame:
-    kind = sets.schema["id"].dataType.simpleString()
-    names = [f"p{k}" for k in range(PARITY_WORDS)]
+def alike_in_bits(load: np.ndarray, first: int, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, those whose parity words, in columns from ``first`` on, differ in at most so many bits."""
+    differ = np.zeros(len(i), np.int64)
+    for k in range(first, load.shape[1]):
+        # Of a signed number, bitwise_count would count the absolute value.
+        differ += np.bitwise_count((load[:, k][i] ^ load[:, k][j]).view(np.uint64))
+        near = differ <= most
+        if not near.all():
+            i, j, differ, most = i[near], j[near], differ[near], most[near]
+    return i, j
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH_SETS):
-                part = batch.slice(lo, BATCH_SETS)
-                lists = part.column(1)
-                words = parity_words(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.diff(lists.offsets.to_numpy()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY_WORDS))], names=["id", *names])
 
-    return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, " + ", ".join(f"{p} bigint" for p in names))
+def _may_reach(load: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Drops only pairs that another member gives, or whose sets can't have the similarity.
+
+    Rows are (size, place of the member, whether the place is in the shorter prefix, parity words ...).
+    """
+    size, place, short = load[:, 0], load[:, 1], load[:, 2] > 0
+    na, nb = size[i], size[j]
+    keep = np.minimum(na, nb) >= np.maximum(na, nb) * threshold - 1e-9
+    # Of a pair, the smaller set needs only the shorter prefix; of two of one size, either.
+    keep &= (short[i] & (na <= nb)) | (short[j] & (nb <= na))
+    i, j, na, nb = i[keep], j[keep], na[keep], nb[keep]
+    # What the two can still share after the places already passed.
+    ra, rb = place[i], place[j]
+    rest = np.minimum(na - ra, nb - rb) + np.minimum(ra, rb)
+    both = na + nb
+    keep = rest * (1 + threshold) >= both * threshold - 1e-9
+    return alike_in_bits(load, 3, i[keep], j[keep], both[keep] * (1 - threshold) / (1 + threshold) + 1e-9)
 
 
 def exact_pairs(groups: Classes, threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity) of all classes with at least the given exact similarity.
+    """(a, b, similarity) of all classes (BIGINT ids) with at least the given exact similarity.
 
     The same result as comparing all with all, without doing so: two sets this similar share one of the
     rarest members of each, as many as the threshold leaves room for.  Members are ranked by how many sets hold
     them; each set is listed under its prefix of rarest members.  Pairs under one member are dropped if
-    their sizes, the places of the member or their parity bitmaps rule the threshold out; what is left is compared.
+    their sizes, the places of the member or their parity bitmaps rule the threshold out; what is left is
+    compared.  It is the exact baseline: at low thresholds prefixes hold common members, and the pairs to be
+    ruled out grow with the square of the sets that hold them.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
-    groups = Classes(materialize(groups.sets, "sets"), groups.members)
-    long = groups.sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    sets = materialize(groups.sets, "sets")
+    long = sets.select(F.col("id").cast("long").alias("id"), F.explode("shingles").alias("s"))
     counts = long.groupBy("s").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("id").orderBy("df", "s")
-    need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
-    # A member of one set only has no partner; it counts for the others' places.
-    ranked = long.join(counts, "s").withColumn("r", F.row_number().over(rare)).where((F.col("r") <= F.col("n") - need + 1) & (F.col("df") > 1))
-    entries = materialize(ranked.select("id", "n", "s", "r").join(_bitmaps(groups.sets), "id"), "prefixes")
-    # Of a pair, ``a`` is the smaller set, or has the smaller id; with a partner no smaller it needs a shorter prefix.
-    half = F.ceil(F.col("n") * F.lit(2 * threshold / (1 + threshold)) - 1e-9)
-    a, b = entries.where(F.col("r") <= F.col("n") - half + 1).alias("a"), entries.alias("b")
-    ahead = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
-    # What the two can still share after the places already passed.
-    rest = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + F.least("a.r", "b.r")
-    both = F.col("a.n") + F.col("b.n")
-    enough = rest * (1 + threshold) >= both * threshold - 1e-9
-    differ = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(1, PARITY_WORDS)), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
-    alike = differ * (1 + threshold) <= both * (1 - threshold) + 1e-9
-    near = (F.col("a.s") == F.col("b.s")) & ahead & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & enough & alike
-    pairs = a.join(b, near).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    return _scored(pairs, groups.sets, "shingles", exact, threshold)
+    ranked = long.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("members"))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_SETS):
+                part = batch.slice(lo, BATCH_SETS)
+                ids, n = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy()).astype(np.int64)
+                df, s = (np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in part.column(1).flatten().flatten())
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + 1
+                prefix, half = (n - np.ceil(n * share - 1e-9).astype(np.int64) + 1 for share in (threshold, 2 * threshold / (1 + threshold)))
+                # A member of one set only has no partner; it counts for the others' places.
+                own = np.flatnonzero((place <= prefix[row]) & (df > 1))
+                row, place = row[own], place[own]
+                load = np.column_stack([ids[row], n[row], place, place <= half[row], parity_words(s, n)[row]])
+                yield pa.RecordBatch.from_arrays([pa.array(s[own]), binary_rows(load.astype(np.int64))], names=["key", "load"])
+
+    entries = ranked.mapInArrow(prefixes, "key bigint, load binary")
+    pairs = colliding_pairs(entries, 3 + PARITY_WORDS, lambda load, i, j: _may_reach(load, i, j, threshold))
+    return _scored(pairs, sets, "shingles", exact, threshold)
 
 
 def similar_to(queries: DataFrame, sigs: DataFrame, params: Params = Params(), verified: bool = True) -> DataFrame:
