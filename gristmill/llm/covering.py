@@ -24,7 +24,7 @@ from gristmill.functions.arrow import parts, row_chunks, text_bytes
 from gristmill.functions.text import fold
 from gristmill.operators.collide import binary_rows, colliding_pairs
 from gristmill.operators.components import components
-from gristmill.operators.neardup import Classes, exact_pairs, mixed, parity_words
+from gristmill.operators.neardup import Classes, alike_in_bits, exact_pairs, mixed, parity_words
 from gristmill.session import materialize
 
 SHINGLE = 3
@@ -91,23 +91,15 @@ def sketch(texts: list[str], radius: int = RADIUS, blocks: int = BLOCKS) -> tupl
     return some, keys.view(np.int64), checks
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """False only for rows of check columns whose sets can't have the similarity.
+def may_reach(load: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Drops only pairs of rows of check columns whose sets can't have the similarity.
 
     The smaller set has at least that share of the larger one's members, and the sets differ in at least as
     many members as their bitmaps in bits.
     """
-    both = a[:, 0] + b[:, 0]
-    keep = np.flatnonzero(np.minimum(a[:, 0], b[:, 0]) >= np.maximum(a[:, 0], b[:, 0]) * similarity - 1e-9)
-    most = both * (1 - similarity) / (1 + similarity) + 1e-9
-    differ = np.zeros(len(keep), np.int64)
-    for k in range(1, a.shape[1]):
-        differ += np.bitwise_count((a[keep, k] ^ b[keep, k]).view(np.uint64))  # of a signed number it would count the absolute value
-        near = differ <= most[keep]
-        keep, differ = keep[near], differ[near]
-    out = np.zeros(len(a), bool)
-    out[keep] = True
-    return out
+    na, nb = load[:, 0][i], load[:, 0][j]
+    keep = np.minimum(na, nb) >= np.maximum(na, nb) * similarity - 1e-9
+    return alike_in_bits(load, 1, i[keep], j[keep], (na + nb)[keep] * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
 def distinct_texts(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +127,7 @@ def candidate_pairs(reps: DataFrame, similarity: float, radius: int = RADIUS, bl
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), binary_rows(np.column_stack([ids, checks]))], names=["keys", "load"])
 
     entries = reps.select(F.col("rep").cast("long"), "text").mapInArrow(run, "keys array<bigint>, load binary").select("load", F.explode("keys").alias("key"))
-    return colliding_pairs(entries, 1 + CHECK_WORDS, lambda a, b: may_reach(a, b, similarity))
+    return colliding_pairs(entries, 1 + CHECK_WORDS, lambda load, i, j: may_reach(load, i, j, similarity))
 
 
 def common_counts(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
