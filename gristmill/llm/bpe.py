@@ -174,6 +174,9 @@ class Bpe:
         flat = np.frombuffer(b"".join(self.tokens[i] for i in long), np.uint8)
         ends = np.cumsum(self.length[long])
         starts = ends - self.length[long]
+        #: Bytes of all longer tokens, and where each begins.
+        self.flat, self.flat_at = flat, np.zeros(n, np.int64)
+        self.flat_at[long] = starts
         h = _Hashes(flat, _P1).of(starts, ends) ^ (self.length[long].astype(np.uint64) << np.uint64(56))
         order = np.argsort(h)
         self.token_hash, self.token_of = h[order], np.array(long, np.int64)[order]
@@ -263,8 +266,11 @@ class Bpe:
                 h = hashes.of(at + 1 - size, at + 1) ^ np.uint64((size << 56) & (2**64 - 1))
                 found = self._look(1, h)
                 hit = found >= 0
-                ends.append(at[hit])
-                tokens.append(self.token_of[found[hit]])
+                at, token = at[hit], self.token_of[found[hit]]
+                # Equal hashes aren't yet equal bytes.
+                same = (data[at[:, None] + np.arange(1 - size, 1)] == self.flat[self.flat_at[token][:, None] + np.arange(size)]).all(axis=1)
+                ends.append(at[same])
+                tokens.append(token[same])
         if not ends:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         end, token = np.concatenate(ends), np.concatenate(tokens)

@@ -28,7 +28,7 @@ SPAM_SHARE = 0.6
 #: Words up to which a first segment is taken for a title, which isn't spam.
 TITLE_WORDS, TITLE_REPEATS = 14, 2
 _ODD = np.array([wc._SIGN0 + wc.SIGNS.index(c) for c in "#|/•*_"] + [wc._KIND0 + 10])
-_LAYOUT = re.compile(r"</?(?:br|p|i|b|em|strong|sub|sup|span|div)\b[^<>]{0,80}>", re.I)
+_LAYOUT = re.compile(r"</?(?:br|p|i|b|em|strong|sub|sup|span|div)\b[^<>]*>", re.I)
 _SENTENCE_END = np.array([wc._SIGN0 + wc.SIGNS.index(c) for c in ".?"])
 
 
