@@ -23,6 +23,5 @@ def upsert_stream(log: DataFrame, store: KvStore, checkpoint: str) -> DataStream
 
 
 def index_stream(documents: DataFrame, id_col: str, text: str, path: str, checkpoint: str, params: neardup.Params = neardup.Params()) -> DataStreamWriter:
-    """Appends the signatures (id, sig) of a stream of texts to a Parquet table that similar_to can be asked about."""
-    sigs = neardup.signatures(neardup.shingle_sets(documents, id_col, text, params.k), params)
-    return sigs.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    """Appends the sketches of a stream of texts to the Parquet table of a SignatureIndex, or to one that similar_to can be asked about."""
+    return neardup.sketches(documents, id_col, text, params).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
