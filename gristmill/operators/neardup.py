@@ -212,32 +212,66 @@ def classes(df: DataFrame, id_col: str, text: str, k: int = 3, params: Params |
     return Classes(sets, members, heads.select("id", "sig") if params else None, params)
 
 
-def band_keys(sigs: DataFrame, params: Params, load: bool = False) -> DataFrame:
+def bit_planes(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each place of signatures, as two rows of 64-bit words one after the other; equal places have equal bits."""
+    m = mixed(sig.astype(np.int64).view(np.uint64))
+    fill = -sig.shape[1] % 64
+    planes = [np.packbits(np.pad(((m >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), ((0, 0), (0, fill))), axis=1).view(np.int64) for k in range(2)]
+    return np.column_stack(planes)
+
+
+def may_agree(load: np.ndarray, i: np.ndarray, j: np.ndarray, places: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Drops only pairs whose bit planes show that fewer places agree than the threshold asks for."""
+    words = load.shape[1] // 2
+    differ = np.zeros(len(i), np.int64)
+    most = places - threshold * places + 1e-9
+    for k in range(words):
+        off = (load[:, k][i] ^ load[:, k][j]) | (load[:, words + k][i] ^ load[:, words + k][j])
+        differ += np.bitwise_count(off.view(np.uint64))
+        near = differ <= most
+        if not near.all():
+            i, j, differ = i[near], j[near], differ[near]
+    return i, j
+
+
+def band_keys(sigs: DataFrame, params: Params, load: bool = False, planes: bool = False) -> DataFrame:
     """(id, key), or (load, key) as colliding_pairs takes it: a 64-bit hash of each band's number and rows.
 
-    Two different bands of values have one key with a chance of 2**-64.
+    Two different bands of values have one key with a chance of 2**-64.  ``planes`` adds bit_planes to the load.
     """
     kind = sigs.schema["id"].dataType.simpleString()
     name, kind = ("load", "binary") if load else ("id", kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, params.bands, params.rows).view(np.uint64)
-            h = np.broadcast_to(mixed(np.arange(params.bands, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)), sig.shape[:2])
-            for r in range(params.rows):
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            own = binary_rows(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]) if load else batch.column(0)
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(params.bands))
-            yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h).view(np.int64).ravel()))], names=[name, "keys"])
+            for lo in range(0, batch.num_rows, BATCH_SETS):
+                part = batch.slice(lo, BATCH_SETS)
+                n = part.num_rows
+                sig = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, params.bands * params.rows)
+                rows = sig.reshape(n, params.bands, params.rows).view(np.uint64)
+                h = np.broadcast_to(mixed(np.arange(params.bands, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)), rows.shape[:2])
+                for r in range(params.rows):
+                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
+                own = part.column(0)
+                if load:
+                    ids = own.to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+                    own = binary_rows(np.column_stack([ids, bit_planes(sig)]) if planes else ids)
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(params.bands))
+                yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h).view(np.int64).ravel()))], names=[name, "keys"])
 
     return sigs.select("id", "sig").mapInArrow(run, f"{name} {kind}, keys array<bigint>").select(name, F.explode("keys").alias("key"))
 
 
-def candidates(sigs: DataFrame, params: Params) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of BIGINT ids that share a band."""
-    return colliding_pairs(band_keys(sigs, params, load=True))
+def candidates(sigs: DataFrame, params: Params, threshold: float | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of BIGINT ids that share a band.
+
+    With ``threshold``, pairs are left out of which two bits of each place already tell that the share of equal
+    places is below it; none that reaches it is lost.
+    """
+    if threshold is None:
+        return colliding_pairs(band_keys(sigs, params, load=True))
+    places = params.bands * params.rows
+    return colliding_pairs(band_keys(sigs, params, True, True), 2 * -(-places // 64), lambda load, i, j: may_agree(load, i, j, places, threshold))
 
 
 def estimated(a: Column, b: Column) -> Column:
@@ -261,10 +295,9 @@ def lsh_pairs(groups: Classes, params: Params = Params(), verify: str = "estimat
     if verify not in ("estimated", "exact"):
         raise ValueError("verify is 'estimated' or 'exact'")
     sigs = groups.sigs if groups.params == params else materialize(signatures(groups.sets, params), "signatures")
-    pairs = candidates(sigs, params)
     if verify == "estimated":
-        return _scored(pairs, sigs, "sig", estimated, params.threshold)
-    return _scored(pairs, groups.sets, "shingles", exact, params.threshold)
+        return _scored(candidates(sigs, params, params.threshold), sigs, "sig", estimated, params.threshold)
+    return _scored(candidates(sigs, params), groups.sets, "shingles", exact, params.threshold)
 
 
 def parity_words(hashes: np.ndarray, counts: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:

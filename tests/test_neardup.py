@@ -92,3 +92,26 @@ def test_signatures_do_not_depend_on_batches():
     h, n = nd.shingle_hashes(texts, 3)
     sig = nd.min_hashes(h, n, nd.Params().functions)
     assert (sig[:3] == sig[3:6]).all() and np.unique(sig, axis=0).shape[0] == 3
+
+
+def test_bit_planes_rule_out_no_pair_that_agrees():
+    rng = np.random.default_rng(1)
+    for places in (20, 100, 128):
+        sig = rng.integers(0, 4, (60, places)) * 1_000_003
+        i, j = np.triu_indices(60, 1)
+        share = (sig[i] == sig[j]).mean(axis=1)
+        kept = set(zip(*(x.tolist() for x in nd.may_agree(np.asfortranarray(nd.bit_planes(sig)), i, j, places, 0.3))))
+        assert {(a, b) for a, b, s in zip(i.tolist(), j.tolist(), share) if s >= 0.3} <= kept < set(zip(i.tolist(), j.tolist()))
+
+
+def test_index_that_grows(spark, tmp_path):
+    index = nd.SignatureIndex(spark, str(tmp_path / "i"), nd.Params(threshold=0.3))
+    assert index.size() == 0 and index.signature(0) is None and index.duplicates().count() == 0
+    texts = spark.createDataFrame(list(enumerate(FOX)), "id bigint, text string")
+    index.add(texts.where("id < 2"))
+    index.add(texts.where("id = 2").unionByName(spark.createDataFrame([(3, None), (4, "ab"), (5, FOX[0].upper())], "id bigint, text string")))
+    assert index.size() == 6 and len(index.signature(1)) == 100 and set(index.signature(3)) == {2147483647}
+    probe = spark.createDataFrame([(7, "the quick brown fox jumped over the lazy dog")], "id bigint, text string")
+    assert {(r.q, r.id) for r in index.similar_to(probe).collect()} == {(7, 0), (7, 1), (7, 5)}
+    assert {(r.q, r.id) for r in index.candidates_of(probe).collect()} >= {(7, 0), (7, 5)}
+    assert index.size() == 6 and pairs(index.duplicates()) == {(0, 1)}
