@@ -82,7 +82,9 @@ def min_hashes(hashes: np.ndarray, counts: np.ndarray, functions: list[tuple[int
     if not some.any():
         return out
     starts = (np.cumsum(counts) - counts)[some]
-    x = (hashes & _MAX).view(np.uint64)
+    # Texts share most of their shingles: each function is computed once for each different one.
+    known, number = np.unique(hashes, return_inverse=True)
+    x = (known & _MAX).view(np.uint64)
     fits = int(x.max()) < 1 << 31
     low, shift = np.uint64(PRIME), np.uint64(31)
     for i, (a, b) in enumerate(functions):
@@ -94,7 +96,7 @@ def min_hashes(hashes: np.ndarray, counts: np.ndarray, functions: list[tuple[int
             v[v >= low] -= low
         else:
             v = np.fmod(v.view(np.int64), np.int64(PRIME))
-        out[some, i] = np.minimum.reduceat(v.view(np.int64), starts)
+        out[some, i] = np.minimum.reduceat(v.astype(np.int32)[number], starts)
     return out
 
 
@@ -194,10 +196,13 @@ def group_sketches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     Ids are reduced to one for each digest before they are joined with it; a digest with very many ids
     is split by the join's skew handling.
     """
-    heads = found.groupBy("d1", "d2").agg(F.min("id").alias("class_id"))
-    own = F.when(F.col("id") == F.col("class_id"), F.col("sig")) if "sig" in found.columns else F.lit(None).cast("array<int>")
-    both = materialize(found.join(heads, ["d1", "d2"]).select("id", "class_id", "d1", "d2", own.alias("sig")), "classes")
-    return both.select("id", "class_id").distinct(), both.where("id = class_id").dropDuplicates(["id", "d1", "d2"]).select("id", "d1", "d2", "sig")
+    heads = materialize(found.groupBy("d1", "d2").agg(F.min("id").alias("class_id")), "heads")
+    members = found.select("id", "d1", "d2").join(heads, ["d1", "d2"]).select("id", "class_id").distinct()
+    if "sig" not in found.columns:
+        return members, heads.select(F.col("class_id").alias("id"), "d1", "d2", F.lit(None).cast("array<int>").alias("sig"))
+    # Signatures travel once, to their digest; of repeated rows of a head one is kept there.
+    own = found.join(heads, ["d1", "d2"]).where("id = class_id").dropDuplicates(["d1", "d2"]).select("id", "d1", "d2", "sig")
+    return members, materialize(own, "signatures")
 
 
 def classes(df: DataFrame, id_col: str, text: str, k: int = 3, params: Params | None = None) -> Classes:
