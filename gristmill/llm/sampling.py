@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import same_name
@@ -30,6 +31,33 @@ class Wish:
         return max(self.least, round(self.share * self.size))
 
 
+def drawn(there: list[int], n: int, rng: random.Random) -> list[int]:
+    """How many of each category are among ``n`` rows drawn at random, all of them if there are fewer.
+
+    The multivariate hypergeometric distribution, category by category: given what is left, a category's
+    count is hypergeometric.  Of more than 10**9 rows, which the sampler doesn't take, it is drawn by the normal
+    distribution of the same mean and variance.
+    """
+    total = sum(there)
+    n = min(n, total)
+    gen = np.random.default_rng(rng.getrandbits(64))
+    out = []
+    for k in there:
+        rest = total - k
+        if n == 0 or k == 0:
+            got = 0
+        elif total < 10**9:
+            got = int(gen.hypergeometric(k, rest, n))
+        else:
+            mean = n * (k / total)
+            spread = (mean * (rest / total) * ((total - n) / max(total - 1, 1))) ** 0.5
+            got = round(gen.normal(mean, spread))
+        got = max(min(got, k, n), n - rest)
+        out.append(got)
+        n, total = n - got, rest
+    return out
+
+
 def repair(wishes: dict[str, Wish], there: dict[str, int], rng: random.Random) -> dict[str, int]:
     """How many rows of each signature (category) to take.
 
@@ -40,16 +68,10 @@ def repair(wishes: dict[str, Wish], there: dict[str, int], rng: random.Random) -
     size = max((w.size for w in wishes.values()), default=0)
     floor = {c: min(w.least, there.get(c, 0)) for c, w in wishes.items()}
     take = dict(floor)
-    # Random rows one by one would be slow for large samples: the free places are dealt by one random order of proportional draws.
     free = max(0, size - sum(take.values()))
-    left = {c: there.get(c, 0) - take[c] for c in wishes}
-    for k, c in enumerate(sorted(left, key=lambda _: rng.random())):
-        rest = sum(left[x] for x in sorted(left)) if k == 0 else rest  # noqa: F821
-        mean = free * left[c] / rest if rest else 0
-        spread = (mean * (1 - left[c] / rest)) ** 0.5 if rest else 0
-        draw = min(left[c], free, max(free - (rest - left[c]), round(rng.gauss(mean, spread)), 0))
-        take[c] += draw
-        free, rest = free - draw, rest - left[c]
+    left = {c: there.get(c, 0) - take[c] for c in sorted(wishes)}
+    for c, n in zip(left, drawn(list(left.values()), free, rng)):
+        take[c] += n
     aim = {c: w.share * w.size for c, w in wishes.items()}
     while True:
         over = max((c for c in take if take[c] > floor[c]), key=lambda c: (take[c] - aim[c], c), default=None)
@@ -113,7 +135,7 @@ class TargetSample:
         """(plan_id, category, id) of each plan's rows.
 
         A plan takes, of each category, the ids that follow a random point in the order of their hashes:
-        whole buckets first, and of the last bucket the first ids, so that no task sorts a whole category.
+        whole buckets first, then whole parts of the last bucket, and of the last part the first ids.
         """
         rows, n = [], 1 << BUCKET_BITS
         for p, counts in self.take.items():
@@ -131,8 +153,22 @@ class TargetSample:
         place = F.pmod(F.col("bucket") - F.col("start"), F.lit(n))
         hit = self.hashed.join(F.broadcast(cuts), "c").withColumn("place", place).where("place < whole or (place = whole and rest > 0)")
         full = hit.where("place < whole").select("plan_id", "c", "id")
-        from pyspark.sql import Window
-
+        # The last bucket is cut by further bits of the hash in the same way, so only a millionth of a category is put in order.
+        last = hit.where("place = whole").withColumn("part", F.shiftrightunsigned(F.col("h"), 64 - 2 * BUCKET_BITS).bitwiseAND(n - 1))
+        parts: dict[tuple[int, str], list[int]] = {(p, c): [0] * n for p, c, _, _, rest in rows if rest}
+        for r in last.groupBy("plan_id", "c", "part").count().collect():
+            parts[r.plan_id, r.c][r.part] = r["count"]
+        fine = []
+        for p, c, _, _, rest in rows:
+            if rest:
+                at = 0
+                while at < n and rest >= parts[p, c][at]:
+                    rest -= parts[p, c][at]
+                    at += 1
+                fine.append((p, c, at, rest))
+        ends = self.spark.createDataFrame(fine, "plan_id int, c string, parts int, left bigint")
         order = Window.partitionBy("plan_id", "c").orderBy("h", "id")
-        part = hit.where("place = whole").withColumn("nth", F.row_number().over(order)).where("nth <= rest").select("plan_id", "c", "id")
-        return full.unionByName(part).select("plan_id", F.col("c").alias(self.category), F.col("id").alias(self.id_col))
+        near = last.join(F.broadcast(ends), ["plan_id", "c"]).where("part < parts or (part = parts and left > 0)")
+        taken = near.where("part < parts").select("plan_id", "c", "id")
+        some = near.where("part = parts").withColumn("nth", F.row_number().over(order)).where("nth <= left").select("plan_id", "c", "id")
+        return full.unionByName(taken).unionByName(some).select("plan_id", F.col("c").alias(self.category), F.col("id").alias(self.id_col))

@@ -79,3 +79,17 @@ def test_too_many_targets_are_refused(spark, monkeypatch):
     targets = spark.createDataFrame([(1, 2, "A", 1.0, 0), (1, 2, "B", 1.0, 0)], TARGETS)
     with pytest.raises(ValueError):
         TargetSample(rows_of(spark, {"A": 1}), targets)
+
+
+def test_the_start_is_drawn_at_random():
+    import statistics
+
+    from gristmill.llm.sampling import drawn
+
+    rng = random.Random(3)
+    got = [drawn([10, 0, 90, 900], 100, rng) for _ in range(400)]
+    assert all(sum(x) == 100 and x[1] == 0 and x[0] <= 10 for x in got)
+    assert abs(statistics.mean(x[2] for x in got) - 9) < 0.6 and 2 < statistics.stdev(x[2] for x in got) < 3.6
+    assert drawn([3, 4], 100, rng) == [3, 4] and drawn([], 5, rng) == [] and drawn([5], 0, rng) == [0]
+    big = drawn([10**12, 3 * 10**12], 4 * 10**8, rng)
+    assert sum(big) == 4 * 10**8 and abs(big[0] - 10**8) < 10**5
