@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,6 +108,16 @@ def clean_shared(spark: SparkSession) -> None:
     _delete(spark, list(_written))
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is materialized within is deleted at the end: for jobs that build a result and write it before they go on."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _delete(spark, list(_written - before))
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for folder in paths:

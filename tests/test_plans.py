@@ -3,7 +3,7 @@ import os
 import pytest
 
 from gristmill.plans.queries import QUERIES
-from gristmill.session import clean_shared, delete_materialized, materialize, shared_dir
+from gristmill.session import clean_shared, delete_materialized, materialize, shared_dir, temporary
 
 
 def plan(df):
@@ -32,3 +32,13 @@ def test_materialized_tables(spark):
     assert [os.path.isdir(f) for f in folders] == [False, True]
     clean_shared(spark)
     assert not os.path.isdir(folders[1])
+
+
+def test_tables_of_a_temporary_scope(spark):
+    kept = materialize(spark.range(2), "kept")
+    with temporary(spark):
+        df = materialize(spark.range(5), "scoped")
+        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert df.count() == 5 and os.path.isdir(folder)
+    assert not os.path.isdir(folder) and kept.count() == 2
+    delete_materialized(kept)
