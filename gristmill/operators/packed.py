@@ -50,17 +50,16 @@ def infer_delimiters(df: DataFrame, fields: list[Field], source: str | None = No
     rows = rows.where("x.v is not null").select("source", "x.field", F.regexp_replace("x.v", r"^\s+|\s+\z", "").alias("v"))
     every = "[" + "".join(re.escape(c) for c in CANDIDATES) + "]"
 
-    def judged(d: str) -> Column:
-        own = re.escape(d)
-        tight = F.regexp_replace("v", f"{own}+" if d.isspace() else rf"\s*{own}\s*", d if d not in "$\\" else "\\" + d)
-        alone = ~F.replace(tight, F.lit(d), F.lit("")).rlike(every)
-        pieces = F.filter(F.split(F.when(alone, tight).otherwise(F.col("v")), F.when(alone, F.lit(own)).otherwise(F.lit(every))), lambda p: p != "")
-        good = F.size(F.filter(pieces, lambda p: p.rlike(r"^(?:[0-9]+|Q)\z")))
-        values = F.size(F.regexp_extract_all(F.col("v"), F.lit("[0-9]+|Q"), F.lit(0)))
-        found = F.struct(F.lit(d).alias("delimiter"), alone.alias("alone"), (good / F.greatest(F.size(pieces), F.lit(1))).alias("r"), (values == F.size(pieces)).cast("double").alias("c"))
-        return F.when(F.contains(F.col("v"), F.lit(d)), found)
-
-    long = rows.where(F.col("v").rlike(every)).select("source", "field", F.explode(F.array_compact(F.array(*map(judged, CANDIDATES)))).alias("j")).select("source", "field", "j.*")
+    # Step by step, so that each text is matched once for each candidate in it.
+    long = rows.where(F.col("v").rlike(every)).select("source", "field", "v", F.explode(F.filter(F.array(*map(F.lit, CANDIDATES)), lambda d: F.contains(F.col("v"), d))).alias("delimiter"))
+    around = F.when(F.trim(F.translate("delimiter", "\t\n\r", "   ")) == "", F.concat(F.lit(r"\Q"), "delimiter", F.lit(r"\E+"))).otherwise(F.concat(F.lit(r"\s*\Q"), "delimiter", F.lit(r"\E\s*")))
+    long = long.withColumn("tight", F.regexp_replace("v", around, F.col("delimiter")))
+    long = long.withColumn("alone", ~F.replace("tight", F.col("delimiter"), F.lit("")).rlike(every))
+    split = F.when(F.col("alone"), F.split("tight", F.concat(F.lit(r"\Q"), "delimiter", F.lit(r"\E")))).otherwise(F.split("v", F.lit(every)))
+    long = long.withColumn("pieces", F.filter(split, lambda p: p != ""))
+    good = F.size(F.filter("pieces", lambda p: p.rlike(r"^(?:[0-9]+|Q)\z")))
+    values = F.size(F.regexp_extract_all(F.col("v"), F.lit("[0-9]+|Q"), F.lit(0)))
+    long = long.select("source", "field", "delimiter", "alone", (good / F.greatest(F.size("pieces"), F.lit(1))).alias("r"), (values == F.size("pieces")).cast("double").alias("c"))
     by = long.groupBy("source", "field", "delimiter", "alone").agg(F.count("*").alias("rows"), F.avg("c").alias("consistency"), F.avg("r").alias("regularity"))
     best = by.groupBy("source", "field", "delimiter").agg(F.max(F.struct("alone", "rows", "consistency", "regularity")).alias("x")).select("source", "field", "delimiter", "x.rows", "x.consistency", "x.regularity")
     return best.withColumn("score", (F.col("consistency") + F.col("regularity")) / 2).withColumn("accepted", F.col("score") >= least)
