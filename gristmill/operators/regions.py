@@ -22,6 +22,8 @@ from gristmill.session import materialize
 
 #: Levels between two that are used, the deepest level, and how many steps below a polygon's own size its border is followed.
 STEP, DEEPEST, STEPS = 2, 24, 3
+#: Pairs of cells and edges looked at in one step.
+PAIRS = 1 << 20
 #: Slack in degrees within which an edge counts as touching a cell; cells that it touches get the exact test.
 SLACK = 1e-9
 
@@ -44,14 +46,29 @@ def inside(edges: np.ndarray, lat: float, lng: float) -> bool:
     return bool(((d - b) * (lat - a) / (c - a) + b > lng).sum() & 1)
 
 
-def touching(edges: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> np.ndarray:
-    """Which edges may meet a box: their own box does, and not all corners are on one side of their line."""
-    (y0, x0), (y1, x1) = low, high
+def _touching(edges: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which edges (columns) may meet which boxes (rows): their own box does, and not all corners are on one side of their line."""
     a, b, c, d = edges.T
+    (y0, x0), (y1, x1) = low.T[:, :, None], high.T[:, :, None]
     near = (np.minimum(a, c) <= y1 + SLACK) & (np.maximum(a, c) >= y0 - SLACK) & (np.minimum(b, d) <= x1 + SLACK) & (np.maximum(b, d) >= x0 - SLACK)
-    side = np.stack([(c - a) * (x - b) - (d - b) * (y - a) for y in (y0, y1) for x in (x0, x1)])
     slack = SLACK * (np.abs(c - a) + np.abs(d - b))
-    return near & ~((side > slack).all(axis=0) | (side < -slack).all(axis=0))
+    above, below = np.ones(near.shape, bool), np.ones(near.shape, bool)
+    for y in (y0, y1):
+        for x in (x0, x1):
+            side = (c - a) * (x - b) - (d - b) * (y - a)
+            above &= side > slack
+            below &= side < -slack
+    return near & ~above & ~below
+
+
+def _all_inside(edges: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The test of inside() for many points (lat, lng)."""
+    a, b, c, d = edges.T
+    y, x = at.T[:, :, None]
+    cut = (a > y) != (c > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        east = (d - b) * (y - a) / (c - a) + b > x
+    return ((cut & east).sum(axis=1) & 1).astype(bool)
 
 
 def cover(edges: np.ndarray, steps: int = STEPS) -> Iterator[tuple[int, int, int, int, bool, np.ndarray]]:
@@ -69,28 +86,39 @@ def cover(edges: np.ndarray, steps: int = STEPS) -> Iterator[tuple[int, int, int
     level = max(0, min(DEEPEST - STEP * steps, own)) // STEP * STEP
     last = level + STEP * steps
 
-    def box(level: int, i: int, j: int) -> tuple[tuple[float, float], tuple[float, float]]:
-        h, w = 180 / (1 << level), 360 / (1 << level)
-        return (i * h - 90, j * w - 180), ((i + 1) * h - 90, (j + 1) * w - 180)
-
     h, w = 180 / (1 << level), 360 / (1 << level)
-    rows = range(max(0, math.floor((y0 + 90) / h)), min((1 << level) - 1, math.floor((y1 + 90) / h)) + 1)
-    todo = [(level, i, j, edges) for i in rows for j in range(math.floor((x0 + 180) / w), math.floor((x1 + 180) / w) + 1)]
-    while todo:
-        level, i, j, near = todo.pop()
-        low, high = box(level, i, j)
-        near = near[touching(near, low, high)]
-        turns, column = divmod(j, 1 << level)
-        if not len(near):
-            if inside(edges, (low[0] + high[0]) / 2, (low[1] + high[1]) / 2):
-                yield level, i, column, turns, True, near
-        elif level == last:
-            # A ray to the east from within the cell meets no edge that is above, below or west of it.
+    rows = np.arange(max(0, math.floor((y0 + 90) / h)), min((1 << level) - 1, math.floor((y1 + 90) / h)) + 1)
+    columns = np.arange(math.floor((x0 + 180) / w), math.floor((x1 + 180) / w) + 1)
+    cells = np.stack(np.meshgrid(rows, columns, indexing="ij"), axis=-1).reshape(-1, 2)
+    part = np.stack(np.meshgrid(np.arange(1 << STEP), np.arange(1 << STEP), indexing="ij"), axis=-1).reshape(-1, 2)
+    width = max(1, PAIRS // len(edges))
+    # All cells of a level at once, in slices of bounded size.
+    while len(cells):
+        finer = []
+        side = np.array([180 / (1 << level), 360 / (1 << level)])
+        for at in range(0, len(cells), width):
+            own = cells[at : at + width]
+            low = own * side - np.array([90.0, 180.0])
+            high = low + side
+            touched = _touching(edges, low, high).any(axis=1)
+            free = np.flatnonzero(~touched)
+            for k in free[_all_inside(edges, (low[free] + high[free]) / 2)].tolist():
+                turns, column = divmod(int(own[k, 1]), 1 << level)
+                yield level, int(own[k, 0]), column, turns, True, edges[:0]
+            border = np.flatnonzero(touched)
+            if level < last:
+                finer.append(((own[border] << STEP)[:, None, :] + part).reshape(-1, 2))
+                continue
+            # A ray to the east from within a cell meets no edge that is above, below or west of it.
             a, b, c, d = edges.T
-            ray = (np.minimum(a, c) <= high[0] + SLACK) & (np.maximum(a, c) >= low[0] - SLACK) & (np.maximum(b, d) >= low[1] - SLACK)
-            yield level, i, column, turns, False, edges[ray]
-        else:
-            todo += [(level + STEP, i << STEP | y, (j << STEP) + x, near) for y in range(1 << STEP) for x in range(1 << STEP)]
+            lo, hi = low[border], high[border]
+            ray = (np.minimum(a, c) <= hi[:, :1] + SLACK) & (np.maximum(a, c) >= lo[:, :1] - SLACK) & (np.maximum(b, d) >= lo[:, 1:] - SLACK)
+            for k, met in zip(border.tolist(), ray):
+                turns, column = divmod(int(own[k, 1]), 1 << level)
+                yield level, int(own[k, 0]), column, turns, False, edges[met]
+        if level == last:
+            return
+        cells, level = np.concatenate(finer), level + STEP
 
 
 def _cell(level: Column, row: Column, column: Column) -> Column:
@@ -112,7 +140,10 @@ def covers(polygons: DataFrame, region: str = "region", rings: str = "rings", st
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(part)), *cols, pa.array([f[5].ravel().tolist() for f in part], pa.list_(pa.float64()))], names=names)
 
     schema = f"region {kind}, level int, row bigint, column bigint, turns int, interior boolean, edges array<double>"
-    made = polygons.where(F.col(f"`{region}`").isNotNull()).select(F.col(f"`{region}`").alias("region"), F.col(f"`{rings}`").alias("rings")).mapInArrow(run, schema)
+    made = polygons.where(F.col(f"`{region}`").isNotNull()).select(F.col(f"`{region}`").alias("region"), F.col(f"`{rings}`").alias("rings"))
+    # Polygons are few bytes and much work: they are spread by number, whatever their size.
+    spread = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = made.repartition(spread).mapInArrow(run, schema)
     return made.select("region", "level", _cell(F.col("level"), F.col("row"), F.col("column")).alias("cell"), "turns", "interior", "edges")
 
 
