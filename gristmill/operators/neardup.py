@@ -28,7 +28,9 @@ from gristmill.session import materialize
 PRIME = (1 << 31) - 1
 _MAX = np.int64((1 << 63) - 1)
 #: Bytes of text hashed at once in a task, and sets hashed to signatures or bitmaps at once.
-BATCH_BYTES, BATCH_SETS = 1 << 20, 500
+BATCH_BYTES, BATCH_SETS = 1 << 21, 500
+#: Copies (24 bytes each) that are broadcast at most.
+MOST_COPIES = 400_000
 #: 64-bit words of a set's parity bitmap, a power of two.
 PARITY_WORDS = 8
 
@@ -62,8 +64,14 @@ def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndar
     h = np.zeros(len(at), np.uint64)
     for j in range(k):
         h = h * np.uint64(31) + u[at + j]
-    h = h.view(np.int64)
-    row = np.repeat(np.arange(len(texts)), many)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), many)
+    if len(h) and int(h.max()) < 1 << 31:
+        # Row and hash in one number: numbers are sorted many times faster than by two keys.
+        x = row << np.uint64(31) | h
+        x.sort()
+        x = x[np.append(True, x[1:] != x[:-1])]
+        return (x & np.uint64((1 << 31) - 1)).view(np.int64), np.bincount((x >> np.uint64(31)).view(np.int64), minlength=len(texts)).astype(np.int64)
+    h, row = h.view(np.int64), row.view(np.int64)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -81,25 +89,58 @@ def min_hashes(hashes: np.ndarray, counts: np.ndarray, functions: list[tuple[int
     some = counts > 0
     if not some.any():
         return out
+    if 0 <= int(hashes.min()) and int(hashes.max()) < 1 << 31:
+        return _low_hashes(hashes, counts, functions, out)
     starts = (np.cumsum(counts) - counts)[some]
     # Texts share most of their shingles: each function is computed once for each different one.
     known, number = np.unique(hashes, return_inverse=True)
     x = (known & _MAX).view(np.uint64)
-    fits = int(x.max()) < 1 << 31
-    low, shift = np.uint64(PRIME), np.uint64(31)
     for i, (a, b) in enumerate(functions):
-        v = x * np.uint64(a) + np.uint64(b)
-        if fits:
-            # Modulo 2**31 - 1 without division: upper bits are added to the lower ones.
-            v = (v & low) + (v >> shift)
-            v = (v & low) + (v >> shift)
-            v[v >= low] -= low
-        else:
-            v = np.fmod(v.view(np.int64), np.int64(PRIME))
+        v = np.fmod((x * np.uint64(a) + np.uint64(b)).view(np.int64), np.int64(PRIME))
         out[some, i] = np.minimum.reduceat(v.astype(np.int32)[number], starts)
     return out
 
 
+def _linear(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """a * x + b modulo 2**31 - 1 of numbers below 2**31, without division: upper bits are added to the lower ones."""
+    low, shift = np.uint64(PRIME), np.uint64(31)
+    v = x * np.uint64(a) + np.uint64(b)
+    v = (v & low) + (v >> shift)
+    v = (v & low) + (v >> shift)
+    v[v >= low] -= low
+    return v.view(np.int64)
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def _low_hashes(hashes: np.ndarray, counts: np.ndarray, functions: list[tuple[int, int]], out: np.ndarray) -> np.ndarray:
+    """min_hashes of hashes below 2**31, by an index from each different one to its texts.
+
+    The least value of a text is nearly always among the lowest 32nd of all values, so only the texts of those hashes
+    are visited; a text that has none of them is computed from all of its own.
+    """
+    x = np.sort(hashes.view(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(counts), dtype=np.uint64), counts))
+    text, x = (x & np.uint64(0xFFFFFFFF)).astype(np.int64), x >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    known, many, begin = x[first], np.diff(np.append(first, len(x))), np.cumsum(counts) - counts
+    own = np.flatnonzero(counts)
+    for i, (a, b) in enumerate(functions):
+        v = _linear(known, a, b)
+        low = np.flatnonzero(v <= PRIME >> 5)
+        col = np.full(len(counts), PRIME, np.int64)
+        np.minimum.at(col, text[ranges(first[low], many[low])], np.repeat(v[low], many[low]))
+        rest = own[col[own] == PRIME]
+        if len(rest):
+            n = counts[rest]
+            col[rest] = np.minimum.reduceat(_linear(hashes[ranges(begin[rest], n)].view(np.uint64), a, b), np.cumsum(n) - n)
+        out[:, i] = col
+    return out
+
+
 def shingle_sets(df: DataFrame, id_col: str, text: str, k: int = 3) -> DataFrame:
     """(id, shingles): the sorted distinct window hashes; an empty array for null and short texts."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -181,13 +222,14 @@ class Classes:
     """Classes of equal shingle sets, each by its smallest id: (id, shingles) and (id, sig) of each, and (id, class_id) of all.
 
     ``sets`` is computed from the texts when it is read; ``sigs`` is there if it was made with the classes,
-    for ``params``.
+    for ``params``.  ``count`` is the number of classes, if it is known and no id is in two of them.
     """
 
     sets: DataFrame | None
     members: DataFrame | None
     sigs: DataFrame | None = None
     params: Params | None = None
+    count: int | None = None
 
 
 def group_sketches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,16 +247,32 @@ def group_sketches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, materialize(own, "signatures")
 
 
-def classes(df: DataFrame, id_col: str, text: str, k: int = 3, params: Params | None = None) -> Classes:
-    """Groups ids by the 128-bit digest of their shingle set; with ``params`` (whose k counts), signatures are made on the way.
+def classes(df: DataFrame, id_col: str, text: str, k: int = 3, params: Params | None = None, stored: bool = True) -> Classes:
+    """Groups ids by the 128-bit digest of their shingle set; with ``params`` (whose k counts), signatures are made too.
+
+    If not ``stored``, signatures are computed when they are read, which should be once.
 
     Null and short texts all have the empty set and are one class.  A null id takes no part; an id with
     several texts is in several classes.
     """
     p = params or Params(k=k)
-    members, heads = group_sketches(materialize(sketches(df, id_col, text, p, with_signatures=params is not None), "sketches"))
-    sets = sketches(df, id_col, text, p, with_sets=True, with_signatures=False).join(heads.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"]).select("id", "shingles")
-    return Classes(sets, members, heads.select("id", "sig") if params else None, params)
+    found = materialize(sketches(df, id_col, text, p, with_signatures=False), "sketches")
+    by_id = found.groupBy("d1", "d2", "id").agg(F.count("*").alias("n"))
+    heads = materialize(by_id.groupBy("d1", "d2").agg(F.min("id").alias("class_id"), F.max("n").alias("n")), "heads")
+    members = found.select("id", "d1", "d2").join(heads, ["d1", "d2"]).select("id", "class_id").distinct()
+    # Copies are few beside their sketches: the sketches stay where they are made, unless copies are many.
+    copies = materialize(found.join(heads, ["d1", "d2"]).where("id <> class_id").select("id", "d1", "d2").distinct(), "copies")
+    told = heads.agg(F.count("*").alias("heads"), F.countDistinct("class_id").alias("ids"), F.max("n").alias("n")).first()
+    few = copies.count() <= MOST_COPIES
+    own = F.broadcast(copies) if few else copies
+
+    def of_heads(**what: bool) -> DataFrame:
+        made = sketches(df, id_col, text, p, **what).join(own, ["id", "d1", "d2"], "left_anti")
+        return made if (told["n"] or 0) <= 1 else made.dropDuplicates(["id", "d1", "d2"])
+
+    sets = of_heads(with_sets=True, with_signatures=False).select("id", "shingles")
+    sigs = of_heads().select("id", "sig") if params else None
+    return Classes(sets, members, materialize(sigs, "signatures") if params and stored else sigs, params, told["heads"] if told["heads"] == told["ids"] else None)
 
 
 def bit_planes(sig: np.ndarray) -> np.ndarray:
@@ -239,6 +297,20 @@ def may_agree(load: np.ndarray, i: np.ndarray, j: np.ndarray, places: int, thres
     return i, j
 
 
+def band_hashes(sig: np.ndarray, params: Params) -> np.ndarray:
+    """A 64-bit hash of each band's number and rows: one row for each signature."""
+    rows = np.ascontiguousarray(sig, np.int64).reshape(len(sig), params.bands, params.rows).view(np.uint64)
+    h = np.broadcast_to(mixed(np.arange(params.bands, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)), rows.shape[:2])
+    for r in range(params.rows):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
+    return np.ascontiguousarray(h).view(np.int64)
+
+
+def _key_lists(sig: np.ndarray, params: Params) -> pa.ListArray:
+    ends = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * np.int32(params.bands))
+    return pa.ListArray.from_arrays(ends, pa.array(band_hashes(sig, params).ravel()))
+
+
 def band_keys(sigs: DataFrame, params: Params, load: bool = False, planes: bool = False) -> DataFrame:
     """(id, key), or (load, key) as colliding_pairs takes it: a 64-bit hash of each band's number and rows.
 
@@ -253,16 +325,11 @@ def band_keys(sigs: DataFrame, params: Params, load: bool = False, planes: bool
                 part = batch.slice(lo, BATCH_SETS)
                 n = part.num_rows
                 sig = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, params.bands * params.rows)
-                rows = sig.reshape(n, params.bands, params.rows).view(np.uint64)
-                h = np.broadcast_to(mixed(np.arange(params.bands, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)), rows.shape[:2])
-                for r in range(params.rows):
-                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
                 own = part.column(0)
                 if load:
                     ids = own.to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
                     own = binary_rows(np.column_stack([ids, bit_planes(sig)]) if planes else ids)
-                ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(params.bands))
-                yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h).view(np.int64).ravel()))], names=[name, "keys"])
+                yield pa.RecordBatch.from_arrays([own, _key_lists(sig, params)], names=[name, "keys"])
 
     return sigs.select("id", "sig").mapInArrow(run, f"{name} {kind}, keys array<bigint>").select(name, F.explode("keys").alias("key"))
 
@@ -279,6 +346,30 @@ def candidates(sigs: DataFrame, params: Params, threshold: float | None = None)
     return colliding_pairs(band_keys(sigs, params, True, True), 2 * -(-places // 64), lambda load, i, j: may_agree(load, i, j, places, threshold))
 
 
+def near_candidates(sets: DataFrame, params: Params) -> DataFrame:
+    """candidates of (id, shingles), without the pairs whose sizes or parity bitmaps rule out the exact threshold: none that reaches it is lost."""
+    functions = params.functions
+    t = params.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_SETS):
+                part = batch.slice(lo, BATCH_SETS)
+                h, counts = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.diff(part.column(1).offsets.to_numpy()).astype(np.int64)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                load = binary_rows(np.column_stack([ids, counts, parity_words(h, counts)]))
+                yield pa.RecordBatch.from_arrays([load, _key_lists(min_hashes(h, counts, functions), params)], names=["load", "keys"])
+
+    def admit(load: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        na, nb = load[:, 0][i], load[:, 0][j]
+        keep = np.minimum(na, nb) >= np.maximum(na, nb) * t - 1e-9
+        i, j, both = i[keep], j[keep], (na + nb)[keep]
+        return alike_in_bits(load, 1, i, j, both * (1 - t) / (1 + t) + 1e-9)
+
+    keys = sets.select("id", "shingles").mapInArrow(run, "load binary, keys array<bigint>").select("load", F.explode("keys").alias("key"))
+    return colliding_pairs(keys, 1 + PARITY_WORDS, admit)
+
+
 def estimated(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
@@ -299,10 +390,11 @@ def lsh_pairs(groups: Classes, params: Params = Params(), verify: str = "estimat
     """(a, b, similarity) of candidate classes, by the signatures' estimate or ``verify='exact'``."""
     if verify not in ("estimated", "exact"):
         raise ValueError("verify is 'estimated' or 'exact'")
+    if verify == "exact":
+        sets = materialize(groups.sets, "sets")
+        return _scored(near_candidates(sets, params), sets, "shingles", exact, params.threshold)
     sigs = groups.sigs if groups.params == params else materialize(signatures(groups.sets, params), "signatures")
-    if verify == "estimated":
-        return _scored(candidates(sigs, params, params.threshold), sigs, "sig", estimated, params.threshold)
-    return _scored(candidates(sigs, params), groups.sets, "shingles", exact, params.threshold)
+    return _scored(candidates(sigs, params, params.threshold), sigs, "sig", estimated, params.threshold)
 
 
 def parity_words(hashes: np.ndarray, counts: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
