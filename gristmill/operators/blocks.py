@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from gristmill.functions.arrow import ranges
 from gristmill.session import register_written, shared_dir
 
-#: Texts of a block, and bytes of its raw columns, at most; blocks that a table has, if it has texts enough.
-ROWS, BYTES, LEAST_BLOCKS = 6400, 48 << 20, 12
+#: Texts of a block with signatures, of one without, and bytes of its raw columns, at most; blocks that a table has, if it has texts enough.
+ROWS, SET_ROWS, BYTES, LEAST_BLOCKS = 6400, 16384, 48 << 20, 12
 #: Texts whose pairs are judged by one matrix product, pairs that are looked at in one step, and decoded blocks kept by a task.
 TILE, STEP, KEPT = 1024, 1 << 16, 2
 #: Bytes of matrices that a decoded block keeps.
@@ -32,6 +32,10 @@ HELD = 32 << 20
 DENSE = 1 << 28
 #: Bits of the longest parity bitmap.
 BITS = 4096
+#: Pairs that are held before their sets are compared.
+PAIRS = 1 << 17
+#: Bits of a count, by the counts that one 32-bit float holds exactly.
+WIDTHS = {3: 8, 2: 12, 1: 23}
 
 
 def write_blocks(rows: DataFrame, count: int, hashes: Callable[[np.ndarray], np.ndarray] | None = None, keep_sig: bool = True) -> DataFrame:
@@ -41,8 +45,8 @@ def write_blocks(rows: DataFrame, count: int, hashes: Callable[[np.ndarray], np.
 
     A block is a file of its own, and some files are a partition: the product of the table with itself has tasks enough.
     """
-    most = min(ROWS, max(64, -(-count // LEAST_BLOCKS)))
     names = [c for c in ("sig", "shingles") if c in rows.columns]
+    most = min(ROWS if "sig" in names else SET_ROWS, max(64, -(-count // LEAST_BLOCKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -126,12 +130,16 @@ class Block:
             self.made[key] = make()
         return self.made[key]
 
-    def parity(self) -> np.ndarray:
-        """Bitmaps of BITS bits, each member toggling one: two sets differ in as many members, at least, as their bitmaps in bits."""
+    def bit_of(self, bits: int) -> np.ndarray:
+        """A bit for each member of the vocabulary."""
+        x = self.vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (((x ^ (x >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+
+    def parity(self, bits: int = BITS) -> np.ndarray:
+        """Bitmaps, each member toggling one bit: two sets differ in as many members, at least, as their bitmaps in bits."""
 
         def make() -> np.ndarray:
-            x = self.vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            bit = ((x ^ (x >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+            bit = self.bit_of(BITS)
             word, mask = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
             out = np.zeros(self.n * BITS // 64, np.uint64)
             for lo in range(0, self.n, 512):
@@ -140,25 +148,87 @@ class Block:
                 np.bitwise_xor.at(out, np.repeat(np.arange(lo, hi) * (BITS // 64), self.sizes[lo:hi]) + word[own], mask[own])
             return out.reshape(self.n, -1)
 
-        return self.once("parity", make)
-
-    def signs(self, tile: int, bits: int, weight: float, left: bool) -> np.ndarray:
-        """Bitmaps folded to ``bits`` as 1 and -1, with two columns that add the weighted sizes of both texts to their product."""
-
-        def make() -> np.ndarray:
-            words = self.parity()[tile : tile + TILE]
+        def folded() -> np.ndarray:
+            words = self.parity()
             while words.shape[1] * 64 > bits:
                 half = words.shape[1] // 2
                 words = words[:, :half] ^ words[:, half:]
-            flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-            size = (weight * self.sizes[tile : tile + TILE])[:, None]
-            return np.hstack([1 - 2 * flat.astype(np.float32), *((size, np.ones_like(size)) if left else (np.ones_like(size), size))]).astype(np.float32)
+            return np.ascontiguousarray(words)
+
+        return self.once(f"parity {bits}", make if bits == BITS else folded)
+
+    def tile(self, first: int, bits: int, share: float) -> Tile:
+        """The parity bitmaps of some texts, for products."""
+
+        def make() -> Tile:
+            sizes = self.sizes[first : first + TILE]
+            own = self.members[self.starts[first] : self.starts[first] + int(sizes.sum())]
+            at = np.repeat(np.arange(len(sizes)) * bits, sizes) + self.once(f"bit {bits}", lambda: self.bit_of(bits))[own]
+            return Tile((np.bincount(at, minlength=len(sizes) * bits) & 1).astype(np.uint8).reshape(-1, bits), sizes, share)
 
         held = [k for k in self.made if isinstance(k, tuple)]
         if sum(self.made[k].nbytes for k in held) > HELD:
             for k in held:
                 del self.made[k]
-        return self.once((tile, bits, left), make)
+        return self.once((first, bits, share), make)
+
+
+class Tile:
+    """Bitmaps of some texts: of two texts that may be similar, the bits that both have are as many, at least, as the sum of their ``least``."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, share: float):
+        ones = flat.sum(axis=1, dtype=np.int64)
+        self.flat, self.n, self.most = flat, len(flat), int(ones.max())
+        self.least = np.floor((ones - share * sizes) / 2 - 1e-9).astype(np.int64)
+        self.made: dict = {}
+
+    @property
+    def nbytes(self) -> int:
+        return self.flat.nbytes + sum(x.nbytes for x in self.made.values())
+
+    def left(self) -> np.ndarray:
+        if 0 not in self.made:
+            self.made[0] = np.hstack([self.flat, -self.least[:, None], np.ones((self.n, 1))]).astype(np.float32)
+        return self.made[0]
+
+    def right(self, fields: int) -> np.ndarray:
+        """Some texts in one row: a product has the counts of all of them, side by side, and the highest bit of each tells whether it is enough."""
+        if fields not in self.made:
+            rows, width = -(-self.n // fields), WIDTHS[fields]
+            fill = rows * fields - self.n
+            flat = np.pad(self.flat, ((0, fill), (0, 0))).reshape(fields, rows, -1)
+            least = np.pad(self.least, (0, fill), constant_values=self.least.max()).reshape(fields, rows)
+            unit = [1 << (width * f) for f in range(fields)]
+            packed = sum(flat[f].astype(np.float32) * np.float32(unit[f]) for f in range(fields))
+            start = sum(((1 << (width - 1)) - least[f]) * unit[f] for f in range(fields))
+            self.made[fields] = np.hstack([packed, np.full((rows, 1), sum(unit)), start[:, None]]).astype(np.float32)
+        return self.made[fields]
+
+    def fields(self, other: Tile) -> int:
+        """As many counts in one number as keep to their own bits, in any order of summation."""
+        low, high = self.least.max(), self.least.min()
+        for fields, width in WIDTHS.items():
+            half = 1 << (width - 1)
+            if max(low, 0) + max(other.least.max(), 0) <= half and min(self.most, other.most) - other.least.min() - min(high, 0) < half:
+                return fields
+        return 1
+
+    def near(self, other: Tile) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of the pairs with one of another tile that the bitmaps don't rule out; ``i`` ascends.
+
+        All sums are of whole numbers below 2**24, which 32-bit floats hold exactly.
+        """
+        fields = self.fields(other)
+        width, right = WIDTHS[fields], other.right(fields)
+        found = (self.left() @ right.T).astype(np.int32).ravel()
+        found &= sum(1 << (width * f + width - 1) for f in range(fields))
+        at = np.flatnonzero(found != 0)
+        i, row, found = at // len(right), at % len(right), found[at]
+        own = [np.flatnonzero(found >> (width * f + width - 1) & 1) for f in range(fields)]
+        i, j = np.concatenate([i[o] for o in own]), np.concatenate([row[o] + f * len(right) for f, o in enumerate(own)])
+        real = np.flatnonzero(j < other.n)
+        real = real[np.argsort(i[real], kind="stable")]
+        return i[real], j[real]
 
 
 def _within(one: Block, two: Block, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +236,10 @@ def _within(one: Block, two: Block, i: np.ndarray, j: np.ndarray, threshold: flo
     na, nb = one.sizes[i], two.sizes[j]
     keep = np.minimum(na, nb) >= np.maximum(na, nb) * threshold - 1e-9
     i, j, both = i[keep], j[keep], (na + nb)[keep]
-    a, b, near = one.parity(), two.parity(), np.zeros(len(i), bool)
+    bits = BITS
+    while bits > 256 and bits > 4 * (one.sizes.mean() + two.sizes.mean()):
+        bits //= 2
+    a, b, near = one.parity(bits), two.parity(bits), np.zeros(len(i), bool)
     for lo in range(0, len(i), 4096):
         at = slice(lo, lo + 4096)
         near[at] = np.bitwise_count(a[i[at]] ^ b[j[at]]).sum(axis=1, dtype=np.int64) <= both[at] * (1 - threshold) / (1 + threshold) + 1e-9
@@ -186,7 +259,10 @@ def _dense(block: Block, place: np.ndarray, width: int) -> np.ndarray:
 
 def similar(one: Block, two: Block, i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, exact similarity) of the pairs that reach the threshold; ``i`` ascends."""
-    i, j = _within(one, two, i, j, threshold)
+    yield from _compared(one, two, *_within(one, two, i, j, threshold), threshold)
+
+
+def _compared(one: Block, two: Block, i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     if not len(i):
         return
     # Places of the second vocabulary in the first; what isn't there falls on a place of its own, which no text holds.
@@ -195,7 +271,7 @@ def similar(one: Block, two: Block, i: np.ndarray, j: np.ndarray, threshold: flo
     there = place < len(one.vocabulary)
     there[there] = one.vocabulary[place[there]] == two.vocabulary[there]
     place[~there] = width - 1
-    if max(one.n, two.n) * width <= DENSE:
+    if max(one.n, two.n) * width <= DENSE and 4 * len(i) > one.n + two.n:
         if two.made.get("for") is not one:
             two.made |= {"for": one, "mapped": _dense(two, place, width)}
         a, b = one.once("dense", lambda: _dense(one, np.arange(width), width)), two.made["mapped"]
@@ -230,32 +306,47 @@ def similar(one: Block, two: Block, i: np.ndarray, j: np.ndarray, threshold: flo
         lo = hi
 
 
-def _bits(size: float) -> int:
-    """Bits that tell most sets of this size apart at a similarity of a half."""
-    bits = 256
-    while bits < 2.2 * size and bits < BITS:
-        bits *= 2
-    return bits
+def _bits(size: float, threshold: float) -> int:
+    """Bits that tell most sets of this size apart which have a tenth of their members in common.
+
+    Of so many bits, fewer differ by chance than two deviations below the mean in some per cent of all pairs.
+    """
+    may = 2 * size * (1 - threshold) / (1 + threshold)
+    for bits in range(64, BITS, 64):
+        if bits / 2 * (1 - np.exp(-3.6 * size / bits)) - np.sqrt(bits) >= may:
+            return bits
+    return BITS
 
 
 def all_similar(one: Block, two: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, similarity) of all pairs that reach the threshold, of one block with another or with itself (i < j)."""
     same = one is two
-    share = 2 * (1 - threshold) / (1 + threshold)
+    share = (1 - threshold) / (1 + threshold)
+    held, many = [], 0
     for p in range(0, one.n, TILE):
         na = one.sizes[p : p + TILE]
         for q in range(p if same else 0, two.n, TILE):
             nb = two.sizes[q : q + TILE]
             if na[-1] < nb[0] * threshold - 1e-9 or nb[-1] < na[0] * threshold - 1e-9:
                 continue
-            bits = _bits((na.mean() + nb.mean()) / 2)
-            # bits - 2 * (differing bits), plus the members that may differ: a sum below bits rules a pair out; 1 for rounding.
-            product = one.signs(p, bits, share, True) @ two.signs(q, bits, share, False).T
-            at = np.flatnonzero(product.ravel() >= bits - 1)
-            i, j = at // len(nb) + p, at % len(nb) + q
+            bits = _bits((na.mean() + nb.mean()) / 2, threshold)
+            i, j = one.tile(p, bits, share).near(two.tile(q, bits, share))
+            i, j = i + p, j + q
             if same and p == q:
                 i, j = i[i < j], j[i < j]
-            yield from similar(one, two, i, j, threshold)
+            held.append(_within(one, two, i, j, threshold))
+            many += len(held[-1][0])
+            if many > PAIRS:
+                yield from _all_compared(one, two, held, threshold)
+                held, many = [], 0
+    if many:
+        yield from _all_compared(one, two, held, threshold)
+
+
+def _all_compared(one: Block, two: Block, held: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    i, j = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(i, kind="stable")
+    return _compared(one, two, i[order], j[order], threshold)
 
 
 def shared_bands(one: Block, two: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -92,9 +92,8 @@ def similar_lookup_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def neardup_quality(spark: SparkSession, folder: str) -> DataFrame:
-    found = _classes(spark, folder)
-    groups = neardup.Classes(materialize(found.sets, "sets"), found.members, found.sigs, found.params)
-    q = neardup.quality(neardup.lsh_pairs(groups, PARAMS), neardup.exact_pairs(groups, PARAMS.threshold))
+    groups = _classes(spark, folder)
+    q = neardup.quality(neardup.lsh_pairs(groups, PARAMS), neardup.exact_pairs(groups, PARAMS.threshold, dense=True))
     return q.select("found", "true", "both", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
