@@ -70,7 +70,8 @@ def neardup_pairs_lsh_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def neardup_pairs_exact(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.exact_pairs(_classes(spark, folder), PARAMS.threshold).withColumn("similarity", F.round("similarity", 6))
+    groups = neardup.classes(_claims(spark, folder), "id", "claim", params=PARAMS, stored=False)
+    return neardup.exact_pairs(groups, PARAMS.threshold, dense=True).withColumn("similarity", F.round("similarity", 6))
 
 
 def similar_lookup(spark: SparkSession, folder: str) -> DataFrame:

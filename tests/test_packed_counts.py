@@ -46,7 +46,7 @@ def test_short_sets_and_the_empty_one(monkeypatch):
         assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in combinations(range(len(sets)), 2) if share(sets[a], sets[b]) >= t}
 
 
-@pytest.mark.parametrize("query", ["neardup_quality"])
+@pytest.mark.parametrize("query", ["neardup_pairs_exact", "neardup_quality"])
 def test_exact_pairs_of_claims_are_not_shuffled(spark, tmp_path, query, monkeypatch):
     from gristmill.plans import reference as ref
 
