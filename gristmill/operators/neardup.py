@@ -490,7 +490,7 @@ def exact_pairs(groups: Classes, threshold: float = 0.5, dense: bool = False) ->
     them; each set is listed under its prefix of rarest members.  Pairs under one member are dropped if
     their sizes, the places of the member or their parity bitmaps rule the threshold out; what is left is
     compared.  It is the exact baseline: at low thresholds prefixes hold common members, and the pairs to be
-    ruled out grow with the square of the sets that hold them.  With ``dense``, for long texts, all pairs
+    ruled out grow with the square of the sets that hold them.  With ``dense``, for long or many texts, all pairs
     are judged by products of their bitmaps as matrices, block by block, if no id is in two classes.
     """
     if not 0 < threshold <= 1:
